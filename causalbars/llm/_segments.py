@@ -8,4 +8,37 @@ from collections.abc import Callable
 import numpy as np
 
 #: Characters with the Unicode property White_Space.
-WHITE_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000") for x in found]
+WHITE_SPACE = r"\t-\r \x85\xa0  -     　"
+#: White space and the word after it. The pre-tokenizer's pattern never matches across the start of white space
+#: that follows other characters, and looks no further than the next word, so segments encode independently.
+SEGMENT = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
+#: Segments that a worker remembers before it starts over; bounds its memory.
+MAX_REMEMBERED = 400_000
+#: Longer segments are encoded but not remembered.
+MAX_LENGTH = 200
+
+
+class SegmentEncoder:
+    """Encodes texts by encoding each distinct segment once; ``encode`` maps segments to int arrays."""
+
+    def __init__(self, encode: Callable[[list[str]], list[np.ndarray]]):
+        self._encode = encode
+        self._known: dict[str, bytes] = {}
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids (uint32) of each text."""
+        cut = [SEGMENT.findall(text) for text in texts]
+        new = list(set().union(*cut).difference(self._known))
+        if len(self._known) + len(new) > MAX_REMEMBERED:
+            self._known = {}
+            new = list(set().union(*cut))
+        long = {}
+        for segment, ids in zip(new, self._encode(new)) if new else ():
+            (self._known if len(segment) <= MAX_LENGTH else long)[segment] = np.asarray(ids, "<u4").tobytes()
+        if long:
+            found = [b"".join([self._known.get(s) or long[s] for s in segments]) for segments in cut]
+        else:
+            found = [b"".join(map(self._known.__getitem__, segments)) for segments in cut]
+        if len(self._known) > MAX_REMEMBERED:
+            self._known = {}
+        return [np.frombuffer(x, "<u4") for x in found]
