@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, packing, pii, quality, secrets, simhash
+from . import bpe, chat, lm, packing, pii, quality, secrets, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan_pii(_table(spark, sf_dir, "documents"))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_table(spark, sf_dir, "documents"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = chat.canonical_turns(_table(spark, sf_dir, "conversations"))
     said = r"\### Assistant: </turn> ok"
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_simhash": op4_simhash,
     "op5_pii": op5_pii,
+    "op7_lm_score": op7_lm_score,
     "op8_chat_format": op8_chat_format,
     "op10_quality_rules": op10_quality_rules,
 }
