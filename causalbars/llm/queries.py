@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, chat, lm, packing, pii, quality, secrets, simhash
+from . import ann, bpe, chat, lm, packing, pii, quality, secrets, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +34,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan_pii(_table(spark, sf_dir, "documents"))
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(_table(spark, sf_dir, "documents"))
 
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_simhash": op4_simhash,
     "op5_pii": op5_pii,
+    "op6_ann": op6_ann,
     "op7_lm_score": op7_lm_score,
     "op8_chat_format": op8_chat_format,
     "op10_quality_rules": op10_quality_rules,
