@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -42,7 +43,7 @@ def _encoder(path: str) -> SegmentEncoder:
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    return SegmentEncoder(lambda segments: [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch(segments, add_special_tokens=False)])
+    return SegmentEncoder(lambda segments: [array("I", e.ids) for e in tokenizer.encode_batch_fast(segments, add_special_tokens=False)])
 
 
 def default_tokenizer_path() -> str:
