@@ -123,7 +123,7 @@ class MergeReplay:
             if not len(at):
                 continue
             nxt = after[at]
-            if len(at) > 1 and np.isin(nxt, at).any():  # runs of one pair, as in "aaaa": leftmost first
+            if (nxt[:-1] == at[1:]).any():  # overlapping pairs, as in "aaaa": leftmost first
                 taken, used = [], -1
                 for p, q in zip(at.tolist(), nxt.tolist()):
                     if p != used:
