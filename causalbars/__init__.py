@@ -1,0 +1 @@
+"""Leakage-safe time-series analytics as Spark DataFrame transformations."""
