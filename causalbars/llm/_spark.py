@@ -29,14 +29,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     """Cuts lineage: writes ``df`` once as Parquet in the shared folder and reads it back.
 
     Unlike a cache, the written table outlives lost executors.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/causalbars-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._causalbars_path = path
     return table
