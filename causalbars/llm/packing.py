@@ -15,7 +15,9 @@ packed like any other row; only the named columns are read; an empty table gives
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from array import array
 from functools import lru_cache
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._segments import SegmentEncoder
+from ._segments import MAX_REMEMBERED, SegmentEncoder
 from ._spark import fields, ship_package
 
 SEQUENCE = 2048
@@ -36,14 +38,72 @@ BLOCK_DOCS = 8192
 _TOKENIZER_ROWS = 2048
 
 
+#: Words of Latin letters, after at most a space; ASCII punctuation after them is a token run of its own.
+_PLAIN = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)")
+
+
+class _Tokenizer:
+    """Ids of segments by the tokenizer's file.
+
+    Words of Latin letters take a shorter way to the same ids: their merges are replayed from the ranks that the
+    file's vocabulary implies. That needs ids in the order of merges, which is checked; all else, and every
+    segment if the check fails, goes through the tokenizers library.
+    """
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
+        from tokenizers import Tokenizer
+
+        self._full = Tokenizer.from_file(path)
+        self._full.encode_special_tokens = True
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        vocabulary, merges = model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        made = [vocabulary[a + b] for a, b in merges]
+        self._quick = None
+        if made == sorted(made) and len(set(made)) == len(made):
+            to_byte = {c: b for b, c in _byte_letters().items()}
+            keys = {bytes(to_byte[c] for c in t): i for t, i in vocabulary.items() if all(c in to_byte for c in t)}
+            dense = {t: i for t, i in keys.items() if len(t) == 1 or i >= made[0]}
+            self._quick = tiktoken.Encoding("packing", pat_str=r"[\s\S]+", mergeable_ranks=dense, special_tokens={})
+        self._parts: dict[str, array] = {}
+
+    def _plain(self, part: str) -> array:
+        ids = self._parts.get(part)
+        if ids is None:
+            ids = array("I", self._quick.encode_ordinary(part))
+            if len(self._parts) < MAX_REMEMBERED // 2:
+                self._parts[part] = ids
+        return ids
+
+    def encode(self, segments: list[str]) -> list[array]:
+        out: list[array | None] = [None] * len(segments)
+        rest = []
+        for i, segment in enumerate(segments):
+            m = _PLAIN.fullmatch(segment) if self._quick else None
+            if m is None:
+                rest.append(i)
+            elif m[2]:
+                out[i] = self._plain(m[1]) + self._plain(m[2])
+            else:
+                out[i] = self._plain(segment)
+        for i, e in zip(rest, self._full.encode_batch_fast([segments[i] for i in rest], add_special_tokens=False)):
+            out[i] = array("I", e.ids)
+        return out
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable letter that stands for each byte in a byte-level vocabulary: bytes that print stand for
+    themselves, the others follow from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + n) for n, b in enumerate(others)}
+
+
 @lru_cache(maxsize=2)
 def _encoder(path: str) -> SegmentEncoder:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return SegmentEncoder(lambda segments: [array("I", e.ids) for e in tokenizer.encode_batch_fast(segments, add_special_tokens=False)])
+    return SegmentEncoder(_Tokenizer(path).encode)
 
 
 def default_tokenizer_path() -> str:
