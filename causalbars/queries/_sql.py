@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DIGITS = 6
+#: Added before rounding: the engines break exact ties differently.
+NUDGE = 1e-9
 
 #: Ticks and hourly bars of each event type.
 BARS = """ticks AS (SELECT event_type AS series, epoch_us(ts) // 1000000 AS t, event_id AS k, value AS price, user_id FROM events),
@@ -16,11 +18,11 @@ bars AS (SELECT series, t // 3600 * 3600 AS t, arg_min(price, (t, k)) AS open, m
 
 def rounded(df: DataFrame) -> DataFrame:
     """Doubles to six digits (and no negative zero), so the order of sums does not show."""
-    return df.select(*[(F.round(F.col(f"`{c}`"), DIGITS) + F.lit(0.0)).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
+    return df.select(*[(F.round(F.col(f"`{c}`") + F.lit(NUDGE), DIGITS) + F.lit(0.0)).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
 
 
 def r(expr: str, name: str) -> str:
-    return f"round(({expr})::DOUBLE, {DIGITS}) + 0.0::DOUBLE AS {name}"
+    return f"round(({expr})::DOUBLE + {NUDGE}::DOUBLE, {DIGITS}) + 0.0::DOUBLE AS {name}"
 
 
 def rs(named: dict[str, str]) -> str:
