@@ -17,8 +17,6 @@ _RUN_OF_WHITE_SPACE = re.compile(f"[{WHITE_SPACE}]{{2}}")
 MAX_REMEMBERED = 800_000
 #: Longer segments are encoded but not remembered.
 MAX_LENGTH = 200
-#: Segments encoded at once.
-_AT_ONCE = 1 << 15
 
 
 def segments(text: str) -> list[str]:
@@ -40,10 +38,14 @@ def segments(text: str) -> list[str]:
 
 
 class SegmentEncoder:
-    """Encodes texts by encoding each distinct segment once; ``encode`` maps segments to int arrays."""
+    """Encodes texts by encoding each distinct segment once.
 
-    def __init__(self, encode: Callable[[list[str]], list[np.ndarray]]):
+    ``encode`` gives the ids of segments as little-endian 32-bit integers; it gets ``at_once`` segments at most.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], at_once: int = 1 << 15):
         self._encode = encode
+        self._at_once = at_once
         self._known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -54,10 +56,10 @@ class SegmentEncoder:
             self._known = {}
             new = list(set().union(*cut))
         long = {}
-        for at in range(0, len(new), _AT_ONCE):
-            part = new[at : at + _AT_ONCE]
+        for at in range(0, len(new), self._at_once):
+            part = new[at : at + self._at_once]
             for key, ids in zip(part, self._encode([k[1:] if k[:1] == "\0" else " " + k for k in part])):
-                (self._known if len(key) <= MAX_LENGTH else long)[key] = np.asarray(ids, "<u4").tobytes()
+                (self._known if len(key) <= MAX_LENGTH else long)[key] = ids
         if long:
             found = [b"".join([self._known.get(s) or long[s] for s in own]) for own in cut]
         else:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ._segments import SegmentEncoder
+from ._segments import MAX_REMEMBERED, SegmentEncoder
 from ._spark import map_texts
 
 _NONE = np.int64(1) << 40
@@ -118,10 +118,12 @@ class MergeReplay:
         while waiting:
             r = heapq.heappop(waiting)
             lists = index.pop(r)
-            at = np.unique(np.concatenate(lists)) if len(lists) > 1 else np.sort(lists[0])
+            at = np.sort(np.concatenate(lists)) if len(lists) > 1 else lists[0]
             at = at[rank[at] == r]
             if not len(at):
                 continue
+            if len(lists) > 1:
+                at = at[np.concatenate([[True], at[1:] != at[:-1]])]
             nxt = after[at]
             if (nxt[:-1] == at[1:]).any():  # overlapping pairs, as in "aaaa": leftmost first
                 taken, used = [], -1
@@ -139,8 +141,8 @@ class MergeReplay:
             inner = beyond >= 0
             before[beyond[inner]] = at[inner]
             prior = before[at]
-            touched = np.concatenate([at, prior[prior >= 0]])
-            touched = np.unique(touched) if len(touched) > 1 else touched
+            touched = np.sort(np.concatenate([at, prior[prior >= 0]]))
+            touched = touched[np.concatenate([[True], touched[1:] != touched[:-1]])]
             follow = after[touched]
             last = follow < 0
             rank[touched] = np.where(last, _NONE, self._rank(token[touched], token[np.where(last, 0, follow)]))
@@ -183,13 +185,17 @@ class Encoder:
         with open(ranks_path, "rb") as file:
             self.replay = MergeReplay({base64.b64decode(a): int(b) for a, b in map(bytes.split, file)})
         self._pattern = regex.compile(pattern)
-        self._segments = SegmentEncoder(self._encode_segments)
+        self._segments = SegmentEncoder(self._encode_segments, at_once=1 << 30)
+        self._words: dict[bytes, bytes] = {}
 
-    def _encode_segments(self, segments: list[str]) -> list[np.ndarray]:
+    def _encode_segments(self, segments: list[str]) -> list[bytes]:
         cut = [[w.encode() for w in self._pattern.findall(s)] for s in segments]
-        words = list(set().union(*cut))
-        ids = dict(zip(words, self.replay.encode_words(words)))
-        return [np.concatenate([ids[w] for w in c]) if len(c) > 1 else ids[c[0]] if c else np.zeros(0, np.int64) for c in cut]
+        words = list(set().union(*cut).difference(self._words))
+        if len(self._words) + len(words) > MAX_REMEMBERED // 2:
+            self._words = {}
+            words = list(set().union(*cut))
+        self._words |= zip(words, (ids.astype("<u4").tobytes() for ids in self.replay.encode_words(words)))
+        return [b"".join(map(self._words.__getitem__, own)) for own in cut]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return self._segments.encode(texts)
@@ -210,8 +216,8 @@ def _paths(ranks_path: str | None) -> tuple[str, str]:
     return ranks_path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-#: Documents of a block.
-BLOCK_ROWS = 4096
+#: Documents of a block, at most: a whole Arrow batch.
+BLOCK_ROWS = 16_384
 
 
 def encode(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), ranks_path: str | None = None) -> DataFrame:

@@ -67,18 +67,18 @@ class _Tokenizer:
             keys = {bytes(to_byte[c] for c in t): i for t, i in vocabulary.items() if all(c in to_byte for c in t)}
             dense = {t: i for t, i in keys.items() if len(t) == 1 or i >= made[0]}
             self._quick = tiktoken.Encoding("packing", pat_str=r"[\s\S]+", mergeable_ranks=dense, special_tokens={})
-        self._parts: dict[str, array] = {}
+        self._parts: dict[str, bytes] = {}
 
-    def _plain(self, part: str) -> array:
+    def _plain(self, part: str) -> bytes:
         ids = self._parts.get(part)
         if ids is None:
-            ids = array("I", self._quick.encode_ordinary(part))
+            ids = array("I", self._quick.encode_ordinary(part)).tobytes()
             if len(self._parts) < MAX_REMEMBERED // 2:
                 self._parts[part] = ids
         return ids
 
-    def encode(self, segments: list[str]) -> list[array]:
-        out: list[array | None] = [None] * len(segments)
+    def encode(self, segments: list[str]) -> list[bytes]:
+        out: list[bytes | None] = [None] * len(segments)
         rest = []
         for i, segment in enumerate(segments):
             m = _PLAIN.fullmatch(segment) if self._quick else None
@@ -89,7 +89,7 @@ class _Tokenizer:
             else:
                 out[i] = self._plain(segment)
         for i, e in zip(rest, self._full.encode_batch_fast([segments[i] for i in rest], add_special_tokens=False)):
-            out[i] = array("I", e.ids)
+            out[i] = array("I", e.ids).tobytes()
         return out
 
 
