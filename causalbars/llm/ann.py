@@ -7,9 +7,10 @@ within a ratio of its nearest centroid's distance: queries inside a cluster read
 cluster read many. The ratio is calibrated on the sample for ``WANTED_RECALL``.
 
 Only centroids, their graph and each list's size (at most MAX_LISTS entries) are held by every task. Long lists
-are cut into pages and the queries of a list into portions, so a task sees at most a page and a portion however
-many vectors are alike; every page of a list is read, so nothing is dropped. Tasks send the ``k`` best of a page
-(with all exact ties settled by id), which are merged by query.
+are cut into pages, pages are dealt to cells of about CELL_VECTORS vectors, and queries are cut into portions, so a
+task's memory is bounded however many vectors are alike; every page of a list is read, so nothing is dropped. A
+query's vector travels once to each cell, with the lists it reads there, and a cell sends back its ``k`` best over
+all of these (exact ties settled by id), which are merged by query.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite components
 take no part; rows with a null id take no part; repeated ids count once, by their best score; ties go to the
@@ -35,7 +36,8 @@ MAX_LISTS = 2048
 LIST_VECTORS = 200
 #: Most lists that a boundary vector is written to, and how much farther than the nearest they may be.
 COPIES, BOUNDARY = 2, 1.1
-PAGE, PORTION = 4096, 1024
+#: Vectors of a page and of a cell, queries of a portion, on average.
+PAGE, CELL_VECTORS, PORTION = 4096, 65_536, 50_000
 NEIGHBOURS = 24
 WANTED_RECALL = 0.97
 _CALIBRATION_QUERIES = 400
@@ -150,27 +152,38 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(np.einsum("nd,nd->n", x, x))[:, None]
 
 
-def best_of_page(query_ids, queries, vec_ids, vectors, k: int):
-    """(query, vector, score) of the k best of a page for each query: exact cosine, ties to the smaller id."""
+def best_of_cell(query_ids, queries, read, vec_ids, vectors, lists, k: int):
+    """(query, vector, score) of the k best vectors of the lists that each query reads: exact cosine, ties to the
+    smaller id. ``read`` holds an array of list numbers for each query, ``lists`` the list of each vector."""
     out_q, out_v, out_s = [], [], []
-    unit = _unit(vectors)
-    norms = np.sqrt(np.einsum("nd,nd->n", vectors, vectors))
-    for at in range(0, len(queries), 64):
-        rough = _unit(queries[at : at + 64]) @ unit.T
-        for i, row in enumerate(rough, at):
-            row[vec_ids == query_ids[i]] = -np.inf
-            if len(row) > k:
-                bound = np.partition(row, len(row) - k)[len(row) - k] - 1e-9
-                near = np.flatnonzero(row >= bound)
-            else:
-                near = np.arange(len(row))
-            near = near[np.isfinite(row[near])]
-            q = queries[i]
-            exact = np.einsum("nd,d->n", vectors[near], q) / (norms[near] * np.sqrt(np.einsum("d,d->", q, q)))
-            best = np.lexsort((vec_ids[near], -exact))[:k]
-            out_q += [query_ids[i]] * len(best)
-            out_v += vec_ids[near][best].tolist()
-            out_s += exact[best].tolist()
+    order = np.argsort(lists, kind="stable")
+    vec_ids, vectors, lists = vec_ids[order], vectors[order], lists[order]
+    unit, norms = _unit(vectors), np.sqrt(np.einsum("nd,nd->n", vectors, vectors))
+    asked = _unit(queries)
+    keep = COPIES * (k + 1)  # a vector may stand in several lists, and the query's own does not count
+    for i, own in enumerate(read):
+        starts, ends = np.searchsorted(lists, own), np.searchsorted(lists, own, side="right")
+        if (ends - starts).sum() > len(lists) // 2:
+            scores = unit @ asked[i]
+            open_ = np.zeros(len(lists), bool)
+            for s, e in zip(starts, ends):
+                open_[s:e] = True
+            scores[~open_] = -np.inf
+            rows = None
+        else:
+            rows = np.concatenate([np.arange(s, e) for s, e in zip(starts, ends)]) if len(own) else np.zeros(0, np.int64)
+            scores = unit[rows] @ asked[i]
+        bound = np.partition(scores, len(scores) - keep)[len(scores) - keep] - 1e-9 if len(scores) > keep else -np.inf
+        near = np.flatnonzero(np.isfinite(scores) & (scores >= bound))
+        near = near if rows is None else rows[near]
+        near = near[vec_ids[near] != query_ids[i]]
+        near = near[np.unique(vec_ids[near], return_index=True)[1]]
+        q = queries[i]
+        exact = np.einsum("nd,d->n", vectors[near], q) / (norms[near] * np.sqrt(np.einsum("d,d->", q, q)))
+        best = np.lexsort((vec_ids[near], -exact))[:k]
+        out_q += [query_ids[i]] * len(best)
+        out_v += vec_ids[near][best].tolist()
+        out_s += exact[best].tolist()
     return out_q, out_v, out_s
 
 
@@ -178,9 +191,10 @@ def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec
     """query_id, rank, vec_id and score of the k nearest found (largest cosine) of each row where ``is_query`` holds."""
     spark = vectors.sparkSession
     ship_package(spark)
-    v = F.col(f"`{vector_col}`").cast("array<double>")
+    v = F.col(f"`{vector_col}`")
+    kind = vectors.schema[vector_col].dataType
     finite = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    usable = vectors.select(F.col(f"`{id_col}`").alias("id"), v.alias("v"), is_query.alias("q")).where(F.col("id").isNotNull() & F.col("v").isNotNull())
+    usable = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), v.alias("v"), is_query.alias("q")).where(F.col("id").isNotNull() & F.col("v").isNotNull())
     usable = usable.where(finite & F.exists("v", lambda x: x != 0))
     out = "query_id long, rank int, vec_id long, score double"
     size = usable.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
@@ -191,43 +205,71 @@ def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec
     index = fit(_unit(np.array([r["v"] for r in sample])), size["count"], k)
     lists = len(index.centres)
 
-    def assign(batches):
+    def units(batch: pa.RecordBatch) -> np.ndarray:
+        return _unit(_matrix(batch.column("v"))).astype(np.float32)
+
+    def sizes(batches):
+        for batch in batches:
+            found = np.zeros(lists, np.int64)
+            for at in range(0, batch.num_rows, 512):
+                for own in index.lists_of_vectors(units(batch.slice(at, 512))):
+                    found[own] += 1
+            used = np.flatnonzero(found)
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(found[used])], names=["list", "n"])
+
+    counts = np.zeros(lists, np.int64)
+    for r in usable.mapInArrow(sizes, "list int, n long").groupBy("list").agg(F.sum("n").alias("n")).collect():  # at most MAX_LISTS rows
+        counts[r["list"]] = r["n"]
+    pages = np.maximum(1, -(-counts // PAGE))
+    cells = int(max(1, -(-counts.sum() // CELL_VECTORS)))
+    portions = int(max(1, -(-usable.where("q").count() // PORTION)))
+
+    def cell_of(number, page):
+        return (number * 7919 + page * 104_729) % cells
+
+    def post(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                x = _unit(_matrix(part.column("v"))).astype(np.float32)
-                asks = np.array(part.column("q").to_pylist(), bool)
-                written = index.lists_of_vectors(x)
-                read = iter(index.lists_of_queries(x[asks])) if asks.any() else iter(())
-                rows, number, query = [], [], []
-                for i, own in enumerate(written):
-                    for asked, found in ((False, own), *(((True, next(read)),) if asks[i] else ())):
-                        rows += [i] * len(found)
-                        number += found.tolist()
-                        query += [asked] * len(found)
+                rows, number, cell = [], [], []
+                for i, (vec, own) in enumerate(zip(part.column("id").to_pylist(), index.lists_of_vectors(units(part)))):
+                    for x in own.tolist():
+                        at_cell = cell_of(x, vec * 2_654_435_761 % 2**32 % int(pages[x]))
+                        for portion in range(portions):
+                            rows.append(i)
+                            number.append(x)
+                            cell.append(at_cell * portions + portion)
                 taken = part.select(["id", "v"]).take(pa.array(rows, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(number, pa.int32()), pa.array(query, pa.bool_())], names=["id", "v", "list", "query"])
+                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(number, pa.int32()), pa.array(cell, pa.int64())], names=["id", "v", "list", "cell"])
 
-    assigned = usable.mapInArrow(assign, T.StructType(fields("id long, v array<double>, list int, query boolean")))
-    counts = np.zeros((2, lists), np.int64)
-    for r in assigned.groupBy("list", "query").count().collect():  # at most 2 x MAX_LISTS rows
-        counts[int(r["query"]), r["list"]] = r["count"]
-    pages = F.array(*[F.lit(int(x)) for x in -(-counts[0] // PAGE)])
-    portions = F.array(*[F.lit(int(x)) for x in -(-counts[1] // PORTION)])
-    page_of, portion_of = F.get(pages, F.col("list")), F.get(portions, F.col("list"))
+    def ask(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                rows, read, cell = [], [], []
+                for i, (vec, own) in enumerate(zip(part.column("id").to_pylist(), index.lists_of_queries(units(part)))):
+                    wanted: dict[int, set[int]] = {}
+                    for x in own.tolist():
+                        for page in range(int(pages[x])):
+                            wanted.setdefault(int(cell_of(x, page)), set()).add(x)
+                    for c, numbers in sorted(wanted.items()):
+                        rows.append(i)
+                        read.append(sorted(numbers))
+                        cell.append(c * portions + vec % portions)
+                taken = part.select(["id", "v"]).take(pa.array(rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(read, pa.list_(pa.int32())), pa.array(cell, pa.int64())], names=["id", "v", "read", "cell"])
 
-    def cells(own, others, shift_own: int, shift_others: int):
-        mine = F.pmod(F.xxhash64("id"), own) * F.lit(1 << shift_own)
-        return F.explode(F.transform(F.sequence(F.lit(0), others - 1), lambda j: F.col("list").cast("long") * F.lit(1 << 44) + mine + j.cast("long") * F.lit(1 << shift_others)))
+    def typed(ddl: str) -> T.StructType:
+        return T.StructType([T.StructField("id", T.LongType()), T.StructField("v", kind), *fields(ddl)])
 
-    both = assigned.where((page_of > 0) & (portion_of > 0))
-    posted = both.where("NOT query").select("id", "v", cells(page_of, portion_of, 22, 0).alias("cell"))
-    asked = both.where("query").select("id", "v", cells(portion_of, page_of, 0, 22).alias("cell"))
+    posted = usable.mapInArrow(post, typed("list int, cell long"))
+    asked = usable.where("q").mapInArrow(ask, typed("read array<int>, cell long"))
 
     def compare(queries: pa.Table, page: pa.Table) -> pa.Table:
         found = ([], [], [])
         if queries.num_rows and page.num_rows:
-            found = best_of_page(queries.column("id").to_numpy(), _matrix(queries.column("v")), page.column("id").to_numpy(), _matrix(page.column("v")), k)
+            read = [np.array(x, np.int64) for x in queries.column("read").to_pylist()]
+            found = best_of_cell(queries.column("id").to_numpy(), _matrix(queries.column("v")), read, page.column("id").to_numpy(), _matrix(page.column("v")), page.column("list").to_numpy(), k)
         return pa.table([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
     near = asked.groupBy("cell").cogroup(posted.groupBy("cell")).applyInArrow(compare, T.StructType(fields("query_id long, vec_id long, score double")))
