@@ -14,7 +14,7 @@ WHITE_SPACE = r"\t-\r \x85\xa0  -     　"
 SEGMENT = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
 _RUN_OF_WHITE_SPACE = re.compile(f"[{WHITE_SPACE}]{{2}}")
 #: Segments that a worker remembers before it starts over; bounds its memory.
-MAX_REMEMBERED = 800_000
+MAX_REMEMBERED = 600_000
 #: Longer segments are encoded but not remembered.
 MAX_LENGTH = 200
 

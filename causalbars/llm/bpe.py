@@ -185,7 +185,7 @@ class Encoder:
         with open(ranks_path, "rb") as file:
             self.replay = MergeReplay({base64.b64decode(a): int(b) for a, b in map(bytes.split, file)})
         self._pattern = regex.compile(pattern)
-        self._segments = SegmentEncoder(self._encode_segments, at_once=1 << 30)
+        self._segments = SegmentEncoder(self._encode_segments, at_once=AT_ONCE)
         self._words: dict[bytes, bytes] = {}
 
     def _encode_segments(self, segments: list[str]) -> list[bytes]:
@@ -216,6 +216,8 @@ def _paths(ranks_path: str | None) -> tuple[str, str]:
     return ranks_path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+#: Segments whose words are replayed together, at most: bounds the arrays of one replay.
+AT_ONCE = 160_000
 #: Documents of a block, at most: a whole Arrow batch.
 BLOCK_ROWS = 16_384
 
