@@ -1,9 +1,9 @@
 """Registered queries of the library's own operators, each with equivalent DuckDB SQL."""
 
-from . import bars, evaluation, features, joins, markets
+from . import bars, evaluation, features, joins, markets, models
 
 QUERIES = {}
 ORACLES = {}
-for _module in (bars, features, joins, evaluation, markets):
+for _module in (bars, features, joins, evaluation, markets, models):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
