@@ -209,3 +209,26 @@ def test_idempotent_sink(spark, tmp_path):
 def test_no_python_in_feature_plans(hourly):
     plan = features.base_features(hourly)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_meta_models_use_earlier_folds_only(hourly):
+    from causalbars.plans import meta
+
+    frame = features.base_features(hourly).join(targets.next_bar(hourly).select("series", "t", "close", "target_t", F.col("target_log_return").alias("actual")), ["series", "t"]).where("actual IS NOT NULL")
+    done = walk_forward.ridge_walk_forward(frame, {"one": ["log_return_1h"], "two": ["log_return_1h", "log_return_3h"]}).persist()
+    stacked = meta.stack(done, ["one", "two"])
+    assert {r["fold"] for r in stacked.select("fold").distinct().collect()} == {2, 3, 4}
+    changed = done.withColumn("actual", F.when(F.col("fold") == 4, -F.col("actual")).otherwise(F.col("actual")))
+    a, b = (as_dict(meta.selective(x).select("series", "model", "fold", "t", "threshold", "kept"), "series", "model", "fold", "t") for x in (done, changed))
+    assert a == b and len(a) > 100
+    regimes = frame.withColumns({"regime": F.when(F.col("close") > 105, "UP").otherwise("DOWN"), "fold": F.ntile(4).over(timeops._ordered(("series",)))})
+    sources = {r["source"] for r in meta.regime_specialists(regimes, ["log_return_1h"], least=100).select("source").distinct().collect()}
+    assert "SPECIALIST" in sources
+
+
+def test_estimators_fit_and_predict(hourly):
+    from causalbars.plans import estimators
+
+    frame = features.base_features(hourly).join(targets.next_bar(hourly).select("series", "t", "close", "target_t", F.col("target_log_return").alias("actual")), ["series", "t"]).where("actual IS NOT NULL")
+    rows = estimators.walk_forward(frame, ["log_return_1h", "log_return_6h"], ["elastic_net", "boosted_absolute"], folds=1)
+    assert {r["model"] for r in rows.select("model").distinct().collect()} == {"elastic_net", "boosted_absolute"} and rows.where("pred IS NULL").isEmpty()
