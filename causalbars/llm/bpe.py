@@ -13,7 +13,7 @@ equal to one-word-at-a-time encoding for any rank file.
 
 Defined results: a null text counts as empty and has no ids; repeated rows repeat their result; null ids pass
 through; only the named columns are read; an empty table gives an empty table. Texts of any length are
-encoded whole. ``decode`` restores the exact bytes of a text; ids outside the vocabulary raise KeyError.
+encoded whole. ``decode`` restores the exact bytes of a text; ids outside the vocabulary raise an error.
 """
 
 from __future__ import annotations
@@ -39,8 +39,10 @@ class MergeReplay:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.tokens = {i: t for t, i in ranks.items()}
-        self.width = max(self.tokens) + 1
+        self.width = max(ranks.values()) + 1
+        self.tokens: list[bytes | None] = [None] * self.width
+        for token, rank in ranks.items():
+            self.tokens[rank] = token
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         keys, values = [], []
         for token, rank in ranks.items():
@@ -184,12 +186,13 @@ class Encoder:
 
         with open(ranks_path, "rb") as file:
             self.replay = MergeReplay({base64.b64decode(a): int(b) for a, b in map(bytes.split, file)})
+        self.decimal = [str(i) for i in range(self.replay.width)]
         self._pattern = regex.compile(pattern)
         self._segments = SegmentEncoder(self._encode_segments, at_once=AT_ONCE)
         self._words: dict[bytes, bytes] = {}
 
     def _encode_segments(self, segments: list[str]) -> list[bytes]:
-        cut = [[w.encode() for w in self._pattern.findall(s)] for s in segments]
+        cut = [[s.encode()] if s.isalpha() or (s[0] == " " and s[1:].isalpha()) else [w.encode() for w in self._pattern.findall(s)] for s in segments]
         words = list(set().union(*cut).difference(self._words))
         if len(self._words) + len(words) > MAX_REMEMBERED // 2:
             self._words = {}
@@ -257,9 +260,10 @@ def digests(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("d
     def compute(texts: list[str]):
         own = encoder(path, pattern)
         sizes, of_ids, of_bytes = [], [], []
+        decimal = own.decimal.__getitem__
         for ids in own.encode(texts):
             sizes.append(len(ids))
-            of_ids.append(hashlib.sha256(",".join(map(str, ids.tolist())).encode()).hexdigest())
+            of_ids.append(hashlib.sha256(",".join(map(decimal, ids.tolist())).encode()).hexdigest())
             of_bytes.append(hashlib.sha256(own.decode(ids)).hexdigest())
         return [pa.array(sizes, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())]
 
