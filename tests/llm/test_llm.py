@@ -394,6 +394,48 @@ def test_line_dedup(spark):
     assert set(kept) == {1, 2, 3, 4} and kept[2]["text"] == "short line" and kept[2]["n_chars"] == 10 and kept[1]["text"] == texts[0][1]
 
 
+def edits_of(a, b):
+    """Inserted, deleted and changed words, by the plain table of edit distances."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def removed_and_expected(spark, texts):
+    """Documents of one line that lose it, and those that connected groups of similar lines lose (brute force)."""
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t), "", "") for i, t in enumerate(texts)], DOCS)
+    got = {r["doc_id"] for r in lines.report(frame).collect() if r["n_removed"]}
+    words = [t.split() for t in texts]
+    least = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            longest = max(len(words[i]), len(words[j]))
+            if least[i] != least[j] and 5 * abs(len(words[i]) - len(words[j])) <= longest and 5 * edits_of(words[i], words[j]) <= longest:
+                low, high = sorted((least[i], least[j]))
+                least = [low if x == high else x for x in least]
+    return got, {i for i, x in enumerate(least) if x != i}
+
+
+def test_line_dedup_recall(spark):
+    rng = random.Random(9)
+    vocabulary = [f"w{int(1000 * rng.random() ** 3)}" for _ in range(2000)]
+    texts = []
+    for n in (6, 8, 10, 15, 20, 28, 40):
+        for share in (0.01, 0.05, 0.1, 0.15, 0.2):
+            line = rng.choices(vocabulary, k=n)
+            copy = list(line)
+            for at in rng.sample(range(n), max(1, int(share * n))):
+                kind = rng.randrange(3)
+                copy[at] = [f"{copy[at]} x{rng.randrange(99)}", "", f"y{rng.randrange(99)}"][kind]
+            texts += [" ".join(line), " ".join(" ".join(copy).split())]
+    rng.shuffle(texts)
+    got, expected = removed_and_expected(spark, texts)
+    assert len(expected) >= 25 and got == expected
+
+
 def test_exact_line_repeats_against_plain(docs, texts):
     seen, expected = {}, collections.defaultdict(set)
     for i in sorted(texts):
