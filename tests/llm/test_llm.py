@@ -436,6 +436,16 @@ def test_line_dedup_recall(spark):
     assert len(expected) >= 25 and got == expected
 
 
+def test_line_dedup_followers_of_a_stranger(spark):
+    """Lines in which one word dominates, each with a near copy: they share one SimHash and are strangers."""
+    texts = []
+    for i in range(12):
+        own = [f"v{i}x{j}" for j in range(9)]
+        texts += [" ".join(["pad"] * 11 + own), " ".join(["pad"] * 11 + own[:-1] + [f"changed{i}"])]
+    got, expected = removed_and_expected(spark, texts)
+    assert got == expected == set(range(1, 24, 2))
+
+
 def test_exact_line_repeats_against_plain(docs, texts):
     seen, expected = {}, collections.defaultdict(set)
     for i in sorted(texts):
