@@ -154,13 +154,13 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 def best_of_cell(query_ids, queries, read, vec_ids, vectors, lists, k: int):
     """(query, vector, score) of the k best vectors of the lists that each query reads: exact cosine, ties to the
-    smaller id. ``read`` holds an array of list numbers for each query, ``lists`` the list of each vector."""
+    smaller id. The query's own id is left out and the cut is widened until it holds k different ids, however often
+    an id is repeated. ``read`` holds an array of list numbers for each query, ``lists`` the list of each vector."""
     out_q, out_v, out_s = [], [], []
     order = np.argsort(lists, kind="stable")
     vec_ids, vectors, lists = vec_ids[order], vectors[order], lists[order]
     unit, norms = _unit(vectors), np.sqrt(np.einsum("nd,nd->n", vectors, vectors))
     asked = _unit(queries)
-    keep = COPIES * (k + 1)  # a vector may stand in several lists, and the query's own does not count
     for i, own in enumerate(read):
         starts, ends = np.searchsorted(lists, own), np.searchsorted(lists, own, side="right")
         if (ends - starts).sum() > len(lists) // 2:
@@ -173,14 +173,19 @@ def best_of_cell(query_ids, queries, read, vec_ids, vectors, lists, k: int):
         else:
             rows = np.concatenate([np.arange(s, e) for s, e in zip(starts, ends)]) if len(own) else np.zeros(0, np.int64)
             scores = unit[rows] @ asked[i]
-        bound = np.partition(scores, len(scores) - keep)[len(scores) - keep] - 1e-9 if len(scores) > keep else -np.inf
-        near = np.flatnonzero(np.isfinite(scores) & (scores >= bound))
-        near = near if rows is None else rows[near]
-        near = near[vec_ids[near] != query_ids[i]]
-        near = near[np.unique(vec_ids[near], return_index=True)[1]]
+        scores[(vec_ids if rows is None else vec_ids[rows]) == query_ids[i]] = -np.inf
+        usable, keep = int(np.isfinite(scores).sum()), COPIES * k  # a vector may stand in several lists
+        while True:
+            bound = np.partition(scores, len(scores) - keep)[len(scores) - keep] - 1e-9 if usable > keep else -np.inf
+            near = np.flatnonzero(np.isfinite(scores) & (scores >= bound))
+            near = near if rows is None else rows[near]
+            if keep >= usable or len(np.unique(vec_ids[near])) >= k:
+                break
+            keep *= 4
         q = queries[i]
         exact = np.einsum("nd,d->n", vectors[near], q) / (norms[near] * np.sqrt(np.einsum("d,d->", q, q)))
-        best = np.lexsort((vec_ids[near], -exact))[:k]
+        order = np.lexsort((vec_ids[near], -exact))
+        best = order[np.sort(np.unique(vec_ids[near][order], return_index=True)[1])[:k]]
         out_q += [query_ids[i]] * len(best)
         out_v += vec_ids[near][best].tolist()
         out_s += exact[best].tolist()

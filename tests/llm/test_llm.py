@@ -299,6 +299,16 @@ def test_ann_odd_vectors(spark):
     assert ann.search(frame.where("vec_id > 59"), F.lit(True)).count() == 0
 
 
+def test_ann_repeated_ids():
+    """The query's own row and its nearest vector stand there 50 times each; an id counts by its best score."""
+    angles = np.array([0.0] * 50 + [0.01] * 50 + [0.02, 0.03, 0.04, 0.05, 0.9, 0.06])
+    ids = np.array([0] * 50 + [1] * 50 + [2, 3, 4, 5, 6, 6])
+    vectors = np.stack([np.cos(angles), np.sin(angles)], axis=1)
+    for lists, read in ((np.zeros(len(ids), np.int64), [0]), (np.arange(len(ids)) % 2, [0, 1])):
+        q, v, s = ann.best_of_cell(np.array([0]), vectors[:1], [np.array(read)], ids, vectors, lists, 6)
+        assert q == [0] * 6 and v == [1, 2, 3, 4, 5, 6] and np.allclose(s, np.cos([0.01, 0.02, 0.03, 0.04, 0.05, 0.06]))
+
+
 # 7
 
 
