@@ -89,26 +89,53 @@ def overlap_revisions(spark, d):
     return ledger.revisions(_stored(spark, d), _incoming(spark, d), ["series", "t"], ["close", "high"])
 
 
-def _segments(spark, d):
-    ticks = src.ticks(spark, d).where("order_key % 4 = 0")
-    return ticks.select(F.concat_ws("|", "series", F.floor(F.col("t") / 86_400).cast("string")).alias("segment"), (F.col("t") * 1_000_000 + F.col("order_key")).alias("t"), F.round(F.col("price") * 100).cast("long").alias("cents"))
+def _segments(spark, d, which="order_key % 4 = 0", seconds=86_400):
+    ticks = src.ticks(spark, d).where(which)
+    return ticks.select(F.concat_ws("|", "series", F.floor(F.col("t") / seconds).cast("string")).alias("segment"), (F.col("t") * 1_000_000 + F.col("order_key")).alias("t"), F.round(F.col("price") * 100).cast("long").alias("cents"))
+
+
+def _heads(rows):
+    return ledger.chain(rows, ["t", "cents"]).groupBy("segment").agg(F.count("*").alias("n"), F.max_by("row_hash", "t").alias("head"))
 
 
 def ledger_chain(spark, d):
-    return ledger.chain(_segments(spark, d), ["t", "cents"]).groupBy("segment").agg(F.count("*").alias("n"), F.max_by("row_hash", "t").alias("head"))
+    return _heads(_segments(spark, d))
 
 
-def ledger_verify(spark, d):
-    chained = ledger.chain(_segments(spark, d), ["t", "cents"])
+def ledger_chain_whole(spark, d):
+    """All events, chained by series and hour so that a hot series is many segments."""
+    return _heads(_segments(spark, d, "true", 3600))
+
+
+def _faults(rows):
+    chained = ledger.chain(rows, ["t", "cents"])
     return ledger.verify(chained.withColumn("cents", F.when(F.col("t") % 1009 == 0, F.col("cents") + 1).otherwise(F.col("cents"))), ["t", "cents"]).select("segment", "t", "fault")
 
 
-def holdout_outcomes(spark, d):
+def ledger_verify(spark, d):
+    return _faults(_segments(spark, d))
+
+
+def ledger_verify_whole(spark, d):
+    """As ledger_chain_whole: all events by series and hour."""
+    return _faults(_segments(spark, d, "true", 3600))
+
+
+def _outcomes(spark, d, which):
     own = features.momentum_columns(lags=(1,))["log_return_1h"]
-    predictions = bars_of(spark, d).select("series", "t", own.alias("pred")).where("pred IS NOT NULL AND t % 10800 = 0")
+    predictions = bars_of(spark, d).select("series", "t", own.alias("pred")).where("pred IS NOT NULL").where(which)
     return rounded(ledger.outcomes(predictions, bars_of(spark, d)))
 
 
+def holdout_outcomes(spark, d):
+    return _outcomes(spark, d, "t % 10800 = 0")
+
+
+def holdout_outcomes_whole(spark, d):
+    """All predictions."""
+    return _outcomes(spark, d, "true")
+
+
 def thirty_day_blocks(spark, d):
     rows = targets.next_bar(bars_of(spark, d)).where("target_log_return IS NOT NULL")
     return rounded(ledger.period_means(rows, "target_log_return", 1704067200, days=5))
@@ -201,7 +228,7 @@ incoming AS (SELECT series, t, CASE WHEN t % 14400 = 0 THEN close * 1.01::DOUBLE
 _CHAIN = BARS + """, seg AS (SELECT series || '|' || (t // 86400) AS segment, t * 1000000 + k AS t, round(price * 100)::BIGINT AS cents FROM ticks WHERE k % 4 = 0),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY t) AS n FROM seg)"""
 
-QUERIES = {f.__name__: f for f in (publication_calendar, exact_align_join, asof_published_state, asof_by_key, release_changes, zscore_release, positioning_features, idempotent_merge_classify, left_anti_append, overlap_revisions, ledger_chain, ledger_verify, holdout_outcomes, thirty_day_blocks, decision_status, latest_n, overlap_is_empty, missing_report, freshness_status, model_comparison)}
+QUERIES = {f.__name__: f for f in (publication_calendar, exact_align_join, asof_published_state, asof_by_key, release_changes, zscore_release, positioning_features, idempotent_merge_classify, left_anti_append, overlap_revisions, ledger_chain, ledger_chain_whole, ledger_verify, ledger_verify_whole, holdout_outcomes, holdout_outcomes_whole, thirty_day_blocks, decision_status, latest_n, overlap_is_empty, missing_report, freshness_status, model_comparison)}
 ORACLES = {
     "publication_calendar": f"""WITH {_CALENDAR}, d AS (SELECT DISTINCT {_DAY} AS day FROM orders), x AS (SELECT day, is_business, nxt, {_TUE} AS tue FROM d JOIN cal USING (day))
       SELECT date_diff('day', DATE '1970-01-01', day) AS day, is_business, {_new_york("nxt", 58500)} AS daily_t, {_new_york("day", 58500)} AS close_t,

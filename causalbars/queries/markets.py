@@ -107,12 +107,21 @@ def imputer_statistics(spark, d):
     return rounded(linear.impute_stats(_scoring(spark, d), list(MODEL.features)))
 
 
-def spread_scenarios(spark, d):
-    rows = _scoring(spark, d).where("t % 21600 = 0").select("series", "t", F.col("close").alias("mid"), F.lit("frozen").alias("model"), MODEL.score().alias("pred"))
+def _spreads(spark, d, which):
+    rows = _scoring(spark, d).where(which).select("series", "t", F.col("close").alias("mid"), F.lit("frozen").alias("model"), MODEL.score().alias("pred"))
     assumed = spark.createDataFrame([("tight", 0.02, 0.01, 5.0, 0.001, 40.0), ("wide", 0.5, 0.05, 5.0, 0.1, 10.0)], "name string, spread double, cost double, wanted double, step double, top double")
     return rounded(spread.spread_scenarios(rows, assumed))
 
 
+def spread_scenarios(spark, d):
+    return _spreads(spark, d, "t % 21600 = 0")
+
+
+def spread_scenarios_whole(spark, d):
+    """All forecasts."""
+    return _spreads(spark, d, "true")
+
+
 _BOOKS = BARS + """, lv AS (SELECT series AS security, t // 10800 * 10800 AS t, price + 100 AS price, (user_id % 50 + 1)::DOUBLE AS quantity, row_number() OVER (PARTITION BY series, t // 10800 ORDER BY price + 100, user_id % 50 + 1, k) AS i, count(*) OVER (PARTITION BY series, t // 10800) AS n FROM ticks),
 sided AS (SELECT security, t, price, quantity, CASE WHEN i <= n // 2 THEN 'bid' ELSE 'ask' END AS side, CASE WHEN i <= n // 2 THEN n // 2 - i + 1 ELSE i - n // 2 END AS level_index FROM lv WHERE n >= 2),
 tops AS (SELECT security, t, max(price) FILTER (side = 'bid') AS bp, min(price) FILTER (side = 'ask') AS ap FROM sided GROUP BY ALL),
@@ -151,7 +160,7 @@ _SCORING = "base AS (@BASE@), y AS (SELECT series, t, close, CASE WHEN lead(t) O
 _TERMS = [f"coalesce({f}, {m})" for f, m in zip(MODEL.features, MODEL.medians)] + [f"({MODEL.features[i]} IS NULL)::INT" for i in MODEL.indicators]
 _SCORE = f"{MODEL.intercept} + " + " + ".join(f"({x} - {m}) / {s} * {c}" for x, m, s, c in zip(_TERMS, MODEL.means, MODEL.scales, MODEL.coefficients))
 
-QUERIES = {f.__name__: f for f in (book_depth_features, snapshot_deltas, book_levels, forward_bars, forward_gaps, admission, latest_bar_forecast, horizon_roll_up, frozen_linear_score, forecast_records, ridge_gram, ridge_scores, imputer_statistics, spread_scenarios)}
+QUERIES = {f.__name__: f for f in (book_depth_features, snapshot_deltas, book_levels, forward_bars, forward_gaps, admission, latest_bar_forecast, horizon_roll_up, frozen_linear_score, forecast_records, ridge_gram, ridge_scores, imputer_statistics, spread_scenarios, spread_scenarios_whole)}
 ORACLES = {
     "book_depth_features": f"WITH {_DEPTH} SELECT security, t, {rs(_FEATURES)} FROM f",
     "snapshot_deltas": f"""WITH {_DEPTH}, p AS (SELECT *, {", ".join(f"{shift(x, 1, 't', 'security')} AS p_{x}" for x in ("t", "mid", "spread_bps", "depth_imbalance_5", "bias"))} FROM f)

@@ -232,3 +232,27 @@ def test_estimators_fit_and_predict(hourly):
     frame = features.base_features(hourly).join(targets.next_bar(hourly).select("series", "t", "close", "target_t", F.col("target_log_return").alias("actual")), ["series", "t"]).where("actual IS NOT NULL")
     rows = estimators.walk_forward(frame, ["log_return_1h", "log_return_6h"], ["elastic_net", "boosted_absolute"], folds=1)
     assert {r["model"] for r in rows.select("model").distinct().collect()} == {"elastic_net", "boosted_absolute"} and rows.where("pred IS NULL").isEmpty()
+
+
+def test_whole_queries_read_all_rows(spark):
+    from causalbars import queries
+    from causalbars.queries.features import bars_of
+    from causalbars.sources import tables
+
+    run = {n: queries.QUERIES[f"{n}_whole"](spark, SF) for n in ("ledger_chain", "ledger_verify", "holdout_outcomes", "spread_scenarios")}
+    ticks = tables.ticks(spark, SF)
+    assert run["ledger_chain"].agg({"n": "sum"}).first()[0] == ticks.count() > queries.QUERIES["ledger_chain"](spark, SF).agg({"n": "sum"}).first()[0]
+    assert run["ledger_verify"].where("fault = 'CHANGED_ROW'").count() == ticks.where("(t * 1000000 + order_key) % 1009 = 0").count()
+    close = {(r["series"], r["t"]) for r in bars_of(spark, SF).select("series", "t").collect()}
+    assert run["holdout_outcomes"].count() == sum((s, t - 3600) in close and (s, t + 3600) in close for s, t in close)
+    assert run["spread_scenarios"].select("series", "t").distinct().count() == len(close)
+
+
+def test_too_many_assumptions_are_refused(spark):
+    from causalbars.operators.spread import spread_scenarios
+
+    forecasts = spark.createDataFrame([("a", 0, 100.0, "m", 0.01)], "series string, t long, mid double, model string, pred double")
+    assumed = spark.range(1001).selectExpr("cast(id as string) AS name", "0.1D AS spread", "0.01D AS cost", "5D AS wanted", "0.1D AS step", "10D AS top")
+    assert spread_scenarios(forecasts, assumed.limit(1000)).count() == 2000
+    with pytest.raises(ValueError):
+        spread_scenarios(forecasts, assumed)
