@@ -456,6 +456,17 @@ def test_line_dedup_followers_of_a_stranger(spark):
     assert got == expected == set(range(1, 24, 2))
 
 
+def test_similarity_of_very_long_lines(spark):
+    a = [chr(0x4E00 + i % 97) for i in range(20_000)]
+    near, far = list(a), list(a)
+    for i in range(2500):
+        near[8 * i] = "x"
+    for i in range(4001):
+        far[i] = "x"
+    frame = spark.createDataFrame([("".join(a), "".join(near), "".join(far))], "a string, near string, far string")
+    assert tuple(frame.select(lines.similar("a", "near"), lines.similar("a", "far")).first()) == (True, False)
+
+
 def test_exact_line_repeats_against_plain(docs, texts):
     seen, expected = {}, collections.defaultdict(set)
     for i in sorted(texts):
