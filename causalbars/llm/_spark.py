@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 #: Rows of a batch that Python sees at once; keeps the Python copy of the texts small.
 SLICE_ROWS = 512
 _MAX_BATCH_BYTES = 48 << 20
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _shipped: set[str] = set()
 
 
@@ -32,11 +33,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     """Cuts lineage: writes ``df`` once as Parquet in the shared folder and reads it back.
 
-    Unlike a cache, the written table outlives lost executors.
+    Unlike a cache, the written table outlives lost executors. Shuffles of the write are removed as soon as it has
+    ended (the session's own setting of that stands again afterwards).
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/causalbars-{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    before = spark.conf.get(_CLEAN_UP, "false")
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
     table = spark.read.schema(df.schema).parquet(path)
     table._causalbars_path = path
     return table
