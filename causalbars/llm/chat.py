@@ -154,10 +154,7 @@ def unescape(text: Column) -> Column:
 
 
 def format_chat(turns: DataFrame) -> DataFrame:
-    """One row a conversation: formatted text, loss_spans (start, end of assistant texts in it), loss_turns.
-
-    ``loss_turns`` says for each turn whether it is under the loss mask.
-    """
+    """One row a conversation: formatted text and loss_spans (start, end of assistant texts in it): the loss mask."""
     text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     head, body = F.concat(F.lit(OPEN), F.url_encode(role), F.lit(SEPARATOR)), escape(text)
@@ -180,7 +177,6 @@ def format_chat(turns: DataFrame) -> DataFrame:
         "conv_id",
         F.array_join(F.transform("p", lambda x: x["piece"]), "").alias("formatted"),
         F.transform(F.filter("p", lambda x: x["loss"]), span).alias("loss_spans"),
-        F.transform("p", lambda x: x["loss"]).alias("loss_turns"),
     )
 
 
@@ -194,9 +190,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
         rest = F.substr(s, F.instr(s, SEPARATOR) + len(SEPARATOR))
         return F.struct(F.url_decode(role).alias("role"), unescape(rest).alias("text"))
 
-    turns = formatted.select("conv_id", "formatted", "loss_turns", F.transform(segments, parse).alias("turns"))
-    under = F.zip_with("turns", "loss_turns", lambda t, on: F.when(on, t["text"]).otherwise(F.lit("")))
-    return turns.select("conv_id", "formatted", "turns", F.array_join(under, "").alias("loss_text"))
+    under = F.transform("loss_spans", lambda x: unescape(F.substring("formatted", x["start"] + 1, x["end"] - x["start"])))
+    return formatted.select("conv_id", "formatted", F.transform(segments, parse).alias("turns"), F.array_join(under, "").alias("loss_text"))
 
 
 def digests(formatted: DataFrame) -> DataFrame:

@@ -1,12 +1,14 @@
 """Personal data: candidate spans, gradient-boosted trees, calibrated thresholds.
 
-High-recall generators propose overlapping spans (plain and disguised e-mail addresses, dotted quads, long
-digit groups, phone-like groups). Spans that satisfy a kind's exact format ("base" spans) are always reported.
-The others are judged by boosted trees over format and context features: trees are fitted on a bounded,
-documented sample of the corpus's own candidates, where meeting the exact format is the (noisy) label and the
-validators themselves (checksum, plus sign, ranges) are withheld from the features, so the trees learn what
-the surroundings and the shape of real ones look like. A held-out part of the sample calibrates scores
-(Platt) and picks each kind's threshold for the wanted precision.
+High-recall generators propose overlapping spans (plain and disguised e-mail addresses, dotted and defanged quads,
+long digit groups, phone-like groups). Spans that satisfy a kind's exact format ("base" spans) are always reported.
+The others are judged by boosted trees over format and context features. Only such others are in the training set,
+which is a bounded, documented sample: positives are the corpus's own base spans, rewritten where they stand into
+forms that miss the exact format (spelt-out signs, odd or dropped separators, no plus sign, defanged dots);
+negatives are candidates that a validator refutes (wrong checksum, parts over 255, digits inside longer words) and
+decoys put in the same places (dates, amounts, item numbers, plain words around "(at)"). Candidates that are neither
+stay unlabelled. A held-out part of the sample calibrates scores (Platt) and picks each kind's threshold for the
+wanted precision; a kind with few held-out positives takes the threshold of all kinds together.
 
 Defined results: a null text counts as empty; an empty text has no spans; repeated rows repeat their result;
 null ids pass through; only the named columns are read; an empty table gives an empty table. One narrow pass
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,18 +32,20 @@ from ._spark import map_texts, materialize
 KINDS = ("email", "ip", "card", "phone")
 #: Most candidates that the trees are fitted on (the lowest hashes of all different candidates).
 SAMPLE_CANDIDATES = 20_000
-#: Precision that a kind's threshold must reach on the held-out part.
-WANTED_PRECISION = 0.98
+#: Precision that a kind's threshold must reach on the held-out part, and positives that it needs for its own one.
+WANTED_PRECISION, OWN_POSITIVES = 0.98, 20
 
-_ANY = re.compile(r"[0-9@]|[(\[]at[)\]]", re.I)
+_ANY = re.compile(r"[0-9@]|[(\[]\x20?at\x20?[)\]]", re.I)
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DIGITS = re.compile(r"[0-9]+")
 _QUAD = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_LOOSE_EMAIL = re.compile(r"[A-Za-z0-9._%+-]{1,64}\x20?(?:[(\[](?:at|AT)[)\]]|@)\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:[(\[](?:dot|DOT)[)\]]|\.)\x20?[A-Za-z0-9-]{1,63}){1,8}")
-_LOOSE_DIGITS = re.compile(r"[(]?[0-9](?:[\x20().-]{0,2}[0-9]){6,}")
+_AT, _DOT = r"(?:[(\[]\x20?(?:at|AT)\x20?[)\]]|@)", r"(?:[(\[]\x20?(?:dot|DOT)\x20?[)\]]|\.)"
+_LOOSE_EMAIL = re.compile(r"[A-Za-z0-9._%+-]{1,64}\x20?" + _AT + r"\x20?[A-Za-z0-9-]{1,63}(?:\x20?" + _DOT + r"\x20?[A-Za-z0-9-]{1,63}){1,8}")
+_LOOSE_QUAD = re.compile(r"(?<![0-9.])[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|\[dot\]|\x20\.\x20)[0-9]{1,3}){3}(?![0-9])")
+_LOOSE_DIGITS = re.compile(r"[(]?[0-9](?:[\x20()./-]{0,2}[0-9]){6,}")
 _WORDS_NEAR = re.compile(r"phone|tel|call|fax|mobile|mail|contact|card|visa|credit|pay|host|server|addr|login", re.I)
 
 
@@ -96,7 +101,7 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     spans = set()
     if "@" in text or "(" in text or "[" in text:
         spans |= {("email", m.start(), m.end()) for m in _LOOSE_EMAIL.finditer(text)}
-    spans |= {("ip", s, e) for s, e in _quads(text)}
+    spans |= {("ip", s, e) for s, e in _quads(text)} | {("ip", m.start(), m.end()) for m in _LOOSE_QUAD.finditer(text)}
     for m in _LOOSE_DIGITS.finditer(text):
         n = sum(c.isdigit() for c in m.group())
         start = m.start() - (m.start() > 0 and text[m.start() - 1] == "+")
@@ -108,21 +113,91 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
 
 
 def describe(text: str, kind: str, start: int, end: int) -> list[float]:
-    """Format and context features of a candidate; validators (checksum, sign, ranges) are withheld."""
+    """Format and context features of a candidate."""
     span = text[start:end].lstrip("+")
     groups = _DIGITS.findall(span)
     before, after = text[max(0, start - 32) : start], text[end : end + 12]
-    figures = sum(map(len, groups))
+    number = "".join(groups)
+    labels = re.split(r"\x20?(?:\.|[(\[]\x20?(?:dot|DOT)\x20?[)\]])\x20?", span)
+    last = labels[-1]
     return [
-        KINDS.index(kind), len(span), figures, len(groups), max(map(len, groups), default=0), min(map(len, groups), default=0),
-        len(groups[0]) if groups else 0, len(groups[-1]) if groups else 0, len({*"".join(groups)}), figures / max(1, len(span)),
+        KINDS.index(kind), len(span), len(number), len(groups), max(map(len, groups), default=0), min(map(len, groups), default=0),
+        len(groups[0]) if groups else 0, len(groups[-1]) if groups else 0, len({*number}), len(number) / max(1, len(span)),
         span.count("."), span.count("-"), span.count(" "), span.count("("), span.count("@"), sum(c.isalpha() for c in span),
         before[-1:].isalnum(), before[-1:] in "=:\"'", after[:1].isalnum(), before[-2:-1] in ".!?", bool(_WORDS_NEAR.search(before)),
         sum(c.isdigit() for c in before), sum(c.isdigit() for c in after),
+        len(labels), len(last), last.islower() and last.isalpha(), span.count("["), span.count("/"), luhn(number) if 12 <= len(number) <= 19 else -1,
+        max((int(g[-4:]) for g in groups), default=0), bool(re.match(r"(?:19|20)[0-9]{2}[-./]", span)), (groups[0][:1] if groups else "") == "0",
     ]
 
 
-N_FEATURES = 23
+N_FEATURES = 32
+
+
+def disguises(kind: str, span: str) -> list[str]:
+    """Forms of a base span that miss the exact format."""
+    if kind == "email":
+        local, _, domain = span.partition("@")
+        plain = re.sub(r"[0-9]+", "", local).strip(".") or local, re.sub(r"[0-9]+", "", domain)
+        made = []
+        for own, host in ((local, domain), plain):
+            made += [f"{own} (at) {host}", f"{own}[at]{host}", f"{own} [at] " + host.replace(".", " [dot] "), f"{own}(at)" + host.replace(".", "(dot)"), f"{own} @ {host}", f"{own} (at) " + host.replace(".", " (dot) ")]
+        return made
+    groups = _DIGITS.findall(span)
+    number = "".join(groups)
+    if kind == "ip":
+        return [d.join(groups) for d in ("[.]", "(.)", "[dot]", " . ")]
+    if kind == "card":
+        four = [number[i : i + 4] for i in range(0, len(number), 4)]
+        return [d.join(four) for d in (".", "  ", " - ", "/")]
+    own = number[-10:]
+    a, b, c = own[:-7], own[-7:-4], own[-4:]
+    return [f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"00{number[:-10]} {a} {b} {c}", f"{number[:-10]}-{a}-{b}-{c}", f"{a} {b} {c}", f"{a}/{b}-{c}"]
+
+
+def decoys(kind: str, seed: int, words: list[str]) -> list[str]:
+    """Harmless texts that the generators propose as this kind."""
+    n = f"{seed % 10**8:08d}"
+    if kind == "email":
+        w = [words[(seed >> i) % len(words)] if words else "word" for i in (0, 3, 6)]
+        return [f"{w[0]} (at) {w[1]}. {w[2].capitalize()}", f"{w[0]} @ {w[1]}. {w[2]}", f"{w[0]} (at) {w[1]}.{w[2].capitalize()}", f"{w[0]} @ {n[:2]}.{n[2:4]}"]
+    if kind == "ip":
+        return [f"{int(n[:2]) + 256}[.]{n[2]}[.]{n[3]}[.]{n[4:6]}", f"{n[:3]} . {n[3]} . {int(n[4:6]) + 300} . {n[6]}"]
+    if kind == "card":
+        return [f"{n[:4]}.{n[4:]}.{n[:4]}.{n[2:6]}", f"{n}  {n[::-1]}", f"{n[:6]}/{n}"]
+    return [f"20{n[:2]}-{1 + seed % 12:02d}-{10 + seed % 18}", f"{10 + seed % 18}.{1 + seed % 12:02d}.19{n[:2]}", f"{n}", f"{n[:2]}.{n[2:5]}.{n[5:]}", f"20{n[:2]}/20{n[2:4]}", f"978-{n[0]}-{n[1:3]}-{n[2:8]}-{n[7]}", f"20{n[:2]}-{1 + seed % 12:02d}-{10 + seed % 18} {10 + seed % 13}"]
+
+
+def refuted(kind: str, text: str, start: int, end: int) -> bool:
+    """A validator rules the candidate out."""
+    span = text[start:end]
+    number = "".join(_DIGITS.findall(span))
+    if kind != "email" and (text[start - 1 : start].isalnum() or text[end : end + 1].isalnum()):
+        return True
+    if kind == "card":
+        return not luhn(number)
+    return kind == "ip" and any(int(g[-4:]) > 255 for g in _DIGITS.findall(span))
+
+
+def examples(text: str) -> list[tuple[str, list[float], bool]]:
+    """Training examples (a key, features, personal) of one text: no candidate that meets the exact format."""
+    found = candidates(text)
+    if not found:
+        return []
+    base, made = base_spans(text), []
+    for kind, s, e in found:
+        if not any(s < b and a < e for _, a, b in base) and refuted(kind, text, s, e):
+            made.append((text[max(0, s - 8) : e + 8], describe(text, kind, s, e), False))
+    for kind, s, e in base:
+        left, right = text[max(0, s - 40) : s], text[e : e + 20]
+        seed = zlib.crc32(text[max(0, s - 40) : e].encode())
+        words = re.findall(r"[A-Za-z]{2,}", left)
+        for personal, forms in ((True, disguises(kind, text[s:e])), (False, decoys(kind, seed, words))):
+            form = forms[seed % len(forms)]
+            placed, a, b = left + form + right, len(left), len(left) + len(form)
+            if (kind, a, b) in candidates(placed) and not any(x < b and a < y for _, x, y in base_spans(placed)):
+                made.append((form, describe(placed, kind, a, b), personal))
+    return made
 
 
 @dataclass
@@ -135,7 +210,7 @@ class Trees:
     depth: int
     bias: float
     scale: tuple[float, float] = (1.0, 0.0)
-    thresholds: tuple[float, ...] = (2.0,) * len(KINDS)
+    thresholds: tuple[float, ...] = (0.5,) * len(KINDS)
 
     def margin(self, x: np.ndarray) -> np.ndarray:
         total = np.full(len(x), self.bias)
@@ -199,14 +274,17 @@ def calibrate(trees: Trees, x: np.ndarray, y: np.ndarray, precision: float = WAN
         step = np.linalg.solve(hess, grad)
         a, b = a + np.clip(step[0], -1, 1), b + np.clip(step[1], -1, 1)
     trees.scale = (float(a), float(b))
-    p, chosen = trees.probability(x), []
-    for kind in range(len(KINDS)):
-        own = x[:, 0] == kind
+    p = trees.probability(x)
+
+    def lowest(own: np.ndarray) -> float:
         order = np.argsort(-p[own], kind="stable")
-        right = np.cumsum(y[own][order]) / np.arange(1, own.sum() + 1)
+        right = (np.cumsum(y[own][order]) + 1) / (np.arange(1, own.sum() + 1) + 1)
         fine = np.flatnonzero(right >= precision)
-        chosen.append(float(max(p[own][order][fine[-1]], 0.5)) if len(fine) >= 20 else 2.0)
-    trees.thresholds = tuple(chosen)
+        return float(max(p[own][order][fine[-1]], 0.5)) if len(fine) else float(p[own].max(initial=0.5))
+
+    kinds = [x[:, 0] == kind for kind in range(len(KINDS))]
+    together = lowest(np.ones(len(y), bool))
+    trees.thresholds = tuple(lowest(own) if y[own].sum() >= OWN_POSITIVES else together for own in kinds)
     return trees
 
 
@@ -214,14 +292,7 @@ def fit(docs: DataFrame, text_col: str = "text", most: int = SAMPLE_CANDIDATES)
     """Trees fitted on at most ``most`` candidates: those with the lowest hashes of their text and place."""
 
     def compute(texts: list[str]):
-        rows = []
-        for text in texts:
-            found = candidates(text)
-            if found:
-                base = set(base_spans(text))
-                rows.append([{"key": text[max(0, s - 8) : e + 8], "x": [float(v) for v in describe(text, k, s, e)], "y": (k, s, e) in base} for k, s, e in found])
-            else:
-                rows.append([])
+        rows = [[{"key": k, "x": [float(v) for v in x], "y": y} for k, x, y in examples(text)] for text in texts]
         kind = pa.list_(pa.struct([("key", pa.string()), ("x", pa.list_(pa.float64())), ("y", pa.bool_())]))
         return [pa.array(rows, kind)]
 

@@ -36,6 +36,8 @@ _RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_RUN)
 _DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)\Z")
 _DIGEST_LENGTHS = {32, 40, 48, 56, 64, 96, 128}
 _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z")
+#: Capitals and small letters that change places too often for words in camel case.
+_MIXED = re.compile(r"(?:[a-z][A-Z]{1,2}[a-z]?[A-Z]|[A-Z][a-z][A-Z][a-z]?[A-Z]).*(?:[a-z][A-Z]{1,3}[a-z]|[A-Z]{2}[a-z])")
 _IDENTIFIER = re.compile(r"(?:[A-Za-z]+[0-9]{0,4}|[0-9]{1,8})(?:[_/=+-]+(?:[A-Za-z]+[0-9]{0,4}|[0-9]{1,8}))+\Z")
 
 
@@ -56,10 +58,14 @@ def default_ranks_path() -> str:
 
 
 def is_random(run: str, encoding) -> bool:
-    """The token-efficiency test for one run of key characters."""
-    if not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run):
+    """The token-efficiency test for one run of key characters.
+
+    A run of one kind of characters only (figures, capitals or small letters) is a number or a word; a run of letters
+    is judged where capitals and small letters mix within its parts.
+    """
+    if not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run)) and not _MIXED.search(run):
         return False
-    if len(run) in _DIGEST_LENGTHS and _DIGEST.match(run) or _UUID.match(run) or _IDENTIFIER.match(run):
+    if len(run) in _DIGEST_LENGTHS and _DIGEST.match(run) or _UUID.match(run) or (_IDENTIFIER.match(run) and not _MIXED.search(run)):
         return False
     return len(run) < MAX_CHARS_PER_TOKEN * len(encoding.encode_ordinary(run))
 

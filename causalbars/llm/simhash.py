@@ -38,6 +38,8 @@ SEED = 42
 MAX_SHARD = 50_000
 #: Fingerprints that a task handles, on average, over all its shards.
 TASK_ROWS = 20_000
+#: Characters of texts that are hashed together, unless one text alone has more.
+MAX_CHARS = 1 << 22
 _CHUNK = 1 << 18
 
 
@@ -46,6 +48,9 @@ def fingerprints(texts: Sequence[str], shingle: int = SHINGLE) -> np.ndarray:
     import xxhash
 
     digest = xxhash.xxh64_intdigest
+    if len(texts) > 1 and sum(map(len, texts)) > MAX_CHARS:  # the hashes of a part are in memory together
+        half = len(texts) // 2
+        return np.concatenate([fingerprints(texts[:half], shingle), fingerprints(texts[half:], shingle)])
     hashes: list[int] = []
     sizes = np.zeros(len(texts), np.int64)
     for i, text in enumerate(texts):
@@ -194,9 +199,12 @@ def components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
 def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """The documents that name their component, columns unchanged; rows without an id are kept.
 
-    Repeated rows of a kept id are reduced to one.
+    Rows that share an id and all their other columns are reduced to one; rows that share only the id all stay.
     """
     found = components(docs, text_col, id_col, shingle, radius)
-    winners = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    kept = docs.join(winners, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns)
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    winners = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("winner")).distinct()
+    row = docs.select(F.col(f"`{id_col}`").alias("own_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    kept = row.join(winners, F.col("own_id") == F.col("winner"), "left_semi")
+    plain = not any(isinstance(f.dataType, (T.MapType, T.VariantType)) for f in docs.schema)  # such rows cannot be compared
+    kept = kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    return (kept.dropDuplicates() if plain else kept).unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
