@@ -51,10 +51,10 @@ def depth_features(snapshots: DataFrame) -> DataFrame:
 
 def changes(features: DataFrame, key: str = "security") -> DataFrame:
     """Six changes since the strictly earlier snapshot of the same key; zeros where there is none."""
-    w = Window.partitionBy(key).orderBy("t")
-    before = F.lag(F.struct("t", "mid", "spread_bps", "depth_imbalance_5", "microprice_minus_mid_bps")).over(w)
+    w = Window.partitionBy(key).orderBy("t").rangeBetween(Window.unboundedPreceding, -1)  # earlier times only
+    before = F.max(F.struct("t", "mid", "spread_bps", "depth_imbalance_5", "microprice_minus_mid_bps")).over(w)
     staged = features.withColumn("_p", before)
-    has = F.col("_p").isNotNull() & (F.col("_p.t") < F.col("t"))
+    has = F.col("_p").isNotNull()
 
     def since(x: Column) -> Column:
         return F.when(has, x).otherwise(0.0)

@@ -137,39 +137,66 @@ def base_features(bars: DataFrame, chunk_hours: int = CHUNK_HOURS) -> DataFrame:
     return done.withColumns(named).select("series", "t", *base_names())
 
 
-def rsi(bars: DataFrame) -> DataFrame:
-    return bars.withColumns(_hourly_columns(BY)).select("series", "t", rsi_column().alias("rsi_14h"))
+def _hourly_windows(bars: DataFrame, columns, chunk_hours: int) -> DataFrame:
+    """Columns (name to expression, for window keys) over the hourly columns, chunk by chunk."""
+    names = list(columns(BY))
+    done = with_halo(bars, LOOK_BACK, 0, chunk_hours, lambda b, by: b.withColumns(_hourly_columns(by)).withColumns(columns(by)))
+    return done.select("series", "t", *names)
 
 
-def volatility(bars: DataFrame) -> DataFrame:
-    return bars.withColumns(_hourly_columns(BY)).select("series", "t", *[x.alias(n) for n, x in volatility_columns().items()])
+def rsi(bars: DataFrame, chunk_hours: int = CHUNK_HOURS) -> DataFrame:
+    return _hourly_windows(bars, lambda by: {f"rsi_{OSCILLATOR_WINDOW}h": rsi_column(by)}, chunk_hours)
 
 
-def trend(bars: DataFrame) -> DataFrame:
-    return bars.withColumns(_hourly_columns(BY)).select("series", "t", *[x.alias(n) for n, x in trend_columns().items()])
+def volatility(bars: DataFrame, chunk_hours: int = CHUNK_HOURS) -> DataFrame:
+    return _hourly_windows(bars, volatility_columns, chunk_hours)
 
 
-def temporal(bars: DataFrame) -> DataFrame:
-    named = calendar_columns() | gap_columns(shift(F.col("t"), 1)) | quality_columns()
-    return bars.select("series", "t", *[x.alias(n) for n, x in named.items()])
+def trend(bars: DataFrame, chunk_hours: int = CHUNK_HOURS) -> DataFrame:
+    return _hourly_windows(bars, trend_columns, chunk_hours)
+
+
+def with_previous(bars: DataFrame, name: str, chunk_hours: int = CHUNK_HOURS) -> DataFrame:
+    """Adds the time of the row before, however long ago: from the chunk where possible, else from the last row of an
+    earlier chunk, which a table with one row a chunk holds."""
+    cut = bars.withColumn("_chunk", F.floor(F.col("t") / (chunk_hours * HOUR)))
+    ends = cut.groupBy("series", "_chunk").agg(F.max("t").alias("_end"))
+    ends = ends.withColumn("_earlier", F.lag("_end").over(Window.partitionBy("series").orderBy("_chunk"))).drop("_end")
+    inside = cut.withColumn("_before", F.lag("t").over(Window.partitionBy("series", "_chunk").orderBy("t")))
+    return inside.join(ends, ["series", "_chunk"], "left").withColumn(name, F.coalesce("_before", "_earlier")).drop("_chunk", "_before", "_earlier")
+
+
+def temporal(bars: DataFrame, chunk_hours: int = CHUNK_HOURS) -> DataFrame:
+    named = calendar_columns() | gap_columns(F.col("_previous")) | quality_columns()
+    return with_previous(bars, "_previous", chunk_hours).select("series", "t", *[x.alias(n) for n, x in named.items()])
+
+
+def auxiliary(bars: DataFrame, prefix: str, lags: Sequence[int], windows: Sequence[int], trends: bool = False, chunk_hours: int = CHUNK_HOURS) -> DataFrame:
+    """Features of a side market on its own clock, to be aligned by exact time; chunk by chunk."""
+    names: list[str] = []
 
+    def compute(b: DataFrame, by: tuple[str, ...]) -> DataFrame:
+        named = {f"{prefix}_{n}": x for n, x in _auxiliary_columns(b.columns, lags, windows, trends, by).items()}
+        names[:] = named
+        return b.withColumn("_return", F.ln("close") - F.ln(exact_lag(F.col("close"), 1, by))).withColumns(named)
 
-def auxiliary(bars: DataFrame, prefix: str, lags: Sequence[int], windows: Sequence[int], trends: bool = False) -> DataFrame:
-    """Features of a side market on its own clock, to be aligned by exact time."""
+    return with_halo(bars, max((*lags, *windows, 0)) + 1, 0, chunk_hours, compute).select("series", "t", *names)
+
+
+def _auxiliary_columns(present: Sequence[str], lags: Sequence[int], windows: Sequence[int], trends: bool, by: Sequence[str]) -> Named:
     o, h, l, c = _prices()
-    hourly = bars.withColumn("_return", F.ln(c) - F.ln(exact_lag(c, 1)))
     named: Named = {"close_internal": c, "candle_range_pct": ratio(h - l, o), "candle_body_pct": ratio(c - o, o)}
-    if "quality" in bars.columns:
+    if "quality" in present:
         named |= quality_columns()
     for lag in lags:
-        prior = exact_lag(c, lag)
+        prior = exact_lag(c, lag, by)
         named |= {f"has_exact_{lag}h": prior.isNotNull().cast("int"), f"log_return_{lag}h": F.ln(c) - F.ln(prior)}
     for w in windows:
-        named[f"realized_vol_{w}h"] = rolling(F.stddev_pop, F.col("_return"), w, cross_least(w))
+        named[f"realized_vol_{w}h"] = rolling(F.stddev_pop, F.col("_return"), w, cross_least(w), by)
         if trends:
-            low, high, mean = (rolling(f, c, w, cross_least(w)) for f in (F.min, F.max, F.avg))
+            low, high, mean = (rolling(f, c, w, cross_least(w), by) for f in (F.min, F.max, F.avg))
             named |= {f"close_vs_sma_{w}h": ratio(c, mean) - 1, f"range_position_{w}h": F.coalesce(ratio(c - low, high - low), F.lit(0.5))}
-    return hourly.select("series", "t", *[x.alias(f"{prefix}_{n}") for n, x in named.items()])
+    return named
 
 
 def align_exact(base: DataFrame, side: DataFrame) -> DataFrame:
@@ -177,30 +204,34 @@ def align_exact(base: DataFrame, side: DataFrame) -> DataFrame:
     return base.join(side.drop("series"), "t", "left")
 
 
-def relative(base: DataFrame, side: DataFrame, prefix: str, lags: Sequence[int], ratio_lags: Sequence[int], windows: Sequence[int], base_minus_side: bool, with_ratio: bool = True, has_ratio: bool = False) -> DataFrame:
-    """Cross-market features of base bars and a side market's :func:`auxiliary` features.
+def relative(base: DataFrame, side: DataFrame, prefix: str, lags: Sequence[int], ratio_lags: Sequence[int], windows: Sequence[int], base_minus_side: bool, with_ratio: bool = True, has_ratio: bool = False, chunk_hours: int = CHUNK_HOURS) -> DataFrame:
+    """Cross-market features of base bars and a side market's :func:`auxiliary` features, chunk by chunk.
 
     ``base_minus_side`` gives the sign of relative returns; correlations use pairs that are both present.
     """
+    look_back = max((*lags, *ratio_lags, *windows, 0)) + 1
+    return with_halo(align_exact(base, side), look_back, 0, chunk_hours, lambda b, by: _relative(b, prefix, lags, ratio_lags, windows, base_minus_side, with_ratio, has_ratio, by))
+
+
+def _relative(joined: DataFrame, prefix: str, lags: Sequence[int], ratio_lags: Sequence[int], windows: Sequence[int], base_minus_side: bool, with_ratio: bool, has_ratio: bool, by: Sequence[str]) -> DataFrame:
     c = F.col("close")
-    joined = align_exact(base, side)
     flags = [x for x in joined.columns if x.startswith(f"{prefix}_has_exact_") or x == f"{prefix}_is_partial_source_hour"]
     joined = joined.withColumns({x: F.coalesce(x, F.lit(0)) for x in flags})
     other = F.col(f"{prefix}_close_internal")
-    joined = joined.withColumns({f"{prefix}_has_exact_current": other.isNotNull().cast("int"), f"log_{prefix}_ratio": F.ln(ratio(other, c)), "_return": F.ln(c) - F.ln(exact_lag(c, 1))})
+    joined = joined.withColumns({f"{prefix}_has_exact_current": other.isNotNull().cast("int"), f"log_{prefix}_ratio": F.ln(ratio(other, c)), "_return": F.ln(c) - F.ln(exact_lag(c, 1, by))})
     named: Named = {}
     log_ratio = F.col(f"log_{prefix}_ratio")
     if with_ratio:
         for lag in lags:
-            own, theirs = F.ln(c) - F.ln(exact_lag(c, lag)), F.col(f"{prefix}_log_return_{lag}h")
+            own, theirs = F.ln(c) - F.ln(exact_lag(c, lag, by)), F.col(f"{prefix}_log_return_{lag}h")
             named[f"{prefix}_relative_return_{lag}h"] = own - theirs if base_minus_side else theirs - own
         for lag in ratio_lags:
-            prior = exact_lag(log_ratio, lag)
+            prior = exact_lag(log_ratio, lag, by)
             named[f"{prefix}_log_ratio_change_{lag}h"] = log_ratio - prior
             if has_ratio:
                 named[f"{prefix}_ratio_has_exact_{lag}h"] = (log_ratio.isNotNull() & prior.isNotNull()).cast("int")
     for w in windows:
-        named[f"{prefix}_corr_{w}h"] = rolling_corr(F.col("_return"), F.col(f"{prefix}_log_return_1h"), w, cross_least(w))
+        named[f"{prefix}_corr_{w}h"] = rolling_corr(F.col("_return"), F.col(f"{prefix}_log_return_1h"), w, cross_least(w), by)
     done = joined.withColumns(named).drop("_return", f"{prefix}_close_internal")
     return done if with_ratio else done.drop(f"log_{prefix}_ratio")
 
@@ -211,16 +242,16 @@ def metal_like(base: DataFrame, bars_a: DataFrame, bars_b: DataFrame, lags=(1, 3
     for prefix, bars in (("a", bars_a), ("b", bars_b)):
         done = relative(done, auxiliary(bars.drop("quality"), prefix, lags, (vol,)), prefix, lags, ratio_lags, corr, base_minus_side=False)
     spread = F.col("log_a_ratio") - F.col("log_b_ratio")
-    done = done.withColumn("log_a_b_ratio", spread)
+    done = with_halo(done.withColumn("log_a_b_ratio", spread), 1, 0, CHUNK_HOURS, lambda b, by: b.withColumn("_spread_before", exact_lag(F.col("log_a_b_ratio"), 1, by)))
     ra, rb = F.col("a_log_return_1h"), F.col("b_log_return_1h")
     return done.withColumns({
         "both_have_exact_current": (F.col("a_has_exact_current") + F.col("b_has_exact_current") == 2).cast("int"),
-        "a_b_log_ratio_change_1h": F.col("log_a_b_ratio") - exact_lag(F.col("log_a_b_ratio"), 1),
+        "a_b_log_ratio_change_1h": F.col("log_a_b_ratio") - F.col("_spread_before"),
         "complex_mean_return_1h": (ra + rb) / 2,
         "complex_return_dispersion_1h": F.abs(ra - rb),
         "complex_breadth_1h": (F.signum(ra) + F.signum(rb)) / 2,
         "a_b_return_spread_1h": ra - rb,
-    })
+    }).drop("_spread_before")
 
 
 def confirmed_subset(base: DataFrame, bars_a: DataFrame, bars_b: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 GENESIS = "0" * 64
 
@@ -44,14 +45,29 @@ def row_text(columns: Sequence[str]) -> Column:
 def chain(rows: DataFrame, columns: Sequence[str], key: str = "segment", heads: DataFrame | None = None) -> DataFrame:
     """Hash-chains rows by t inside each segment: row_hash = sha256(previous hash, row).
 
-    Segments are chained in parallel; within one the chain is a fold over its sorted rows. ``heads`` (segment,
-    head) continues stored segments.
+    A chain is serial, so a segment is one group, hashed in one pass over its sorted rows; segments are chained in
+    parallel. Segments are the caller's choice and should be of bounded size, such as a series and hour. ``heads``
+    (segment, head) continues stored segments.
     """
-    listed = rows.withColumn("_text", row_text(columns)).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("t", "_text", F.struct(*rows.columns).alias("_row")))).alias("_rows"))
-    listed = listed.join(heads, key, "left") if heads is not None else listed.withColumn("head", F.lit(None).cast("string"))
-    seed = F.coalesce("head", F.lit(GENESIS))
-    hashes = F.aggregate("_rows", F.array(seed), lambda done, x: F.concat(done, F.array(F.sha2(F.concat(F.element_at(done, -1), F.lit("|"), x["_text"]), 256))))
-    return listed.select(F.explode(F.transform("_rows", lambda x, i: F.struct(x["_row"].alias("r"), i.alias("i")))).alias("x"), hashes.alias("_h")).select("x.r.*", F.get("_h", F.col("x.i")).alias("previous_row_hash"), F.get("_h", F.col("x.i") + 1).alias("row_hash"))
+    texts = rows.withColumn("_text", row_text(columns))
+    texts = texts.join(heads, key, "left") if heads is not None else texts.withColumn("head", F.lit(None).cast("string"))
+    texts = texts.withColumn("_head", F.coalesce("head", F.lit(GENESIS))).select(*rows.columns, "_text", "_head")
+    names = [*rows.columns, "previous_row_hash", "row_hash"]
+    schema = T.StructType([*rows.schema.fields, T.StructField("previous_row_hash", T.StringType()), T.StructField("row_hash", T.StringType())])
+    width = len(rows.columns)
+
+    def fold(table):
+        import hashlib
+
+        import pyarrow as pa
+
+        table = table.sort_by([("t", "ascending"), ("_text", "ascending")])
+        links = [table.column("_head")[0].as_py()]
+        for text in table.column("_text").to_pylist():
+            links.append(hashlib.sha256(f"{links[-1]}|{text}".encode()).hexdigest())
+        return pa.table([*table.columns[:width], pa.array(links[:-1], pa.string()), pa.array(links[1:], pa.string())], names=names)
+
+    return texts.groupBy(key).applyInArrow(fold, schema)
 
 
 def verify(ledger: DataFrame, columns: Sequence[str], key: str = "segment") -> DataFrame:

@@ -21,5 +21,5 @@ def spread_scenarios(forecasts: DataFrame, assumptions: DataFrame) -> DataFrame:
     sides = F.explode(F.array(F.struct(F.lit("LONG").alias("side"), (later - F.col("spread") / 2 - ask - F.col("cost")).alias("margin")), F.struct(F.lit("SHORT").alias("side"), (bid - (later + F.col("spread") / 2) - F.col("cost")).alias("margin"))))
     done = both.withColumn("x", sides).select("series", "t", "model", "name", "wanted", "step", "top", "x.*")
     steps = F.ceil((F.col("wanted") / F.col("margin")).cast("decimal(30,9)") / F.col("step").cast("decimal(18,9)"))
-    done = done.withColumn("quantity", F.when(F.round("margin", 6) > 0, steps.cast("double") * F.col("step")))
+    done = done.withColumn("quantity", F.when(F.round("margin", 6) > 0, F.greatest(steps, F.lit(1)).cast("double") * F.col("step")))
     return done.withColumns({"profit": F.col("quantity") * F.col("margin"), "fillable": F.coalesce(F.col("quantity") <= F.col("top"), F.lit(False))}).drop("wanted", "step", "top")

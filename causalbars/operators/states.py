@@ -9,21 +9,25 @@ from pyspark.sql import functions as F
 
 from ..functions.timeops import HOUR, positional, ratio, shift
 
-#: Largest state table (rows) that is sent to every task as intervals.
-BROADCAST_STATES = 1_000_000
+#: Seconds of the time buckets in which queries meet states.
+BUCKET = 86_400
 
 
 def asof_intervals(queries: DataFrame, states: DataFrame, at: str) -> DataFrame:
-    """Joins each query to the latest state with ``available <= at``: a range join with [from, to) intervals.
+    """Joins each query to the latest state with ``available <= at``, for one global series of states.
 
-    For a global state. It is broadcast only up to BROADCAST_STATES rows; use :func:`asof_by_key` beyond.
+    Queries and states are keyed by time buckets; each bucket also gets the last state of the buckets before it, from
+    a table with one row a bucket. So one shuffle on the bucket serves any number of states, and no query meets more
+    than the states of its bucket.
     """
-    if states.limit(BROADCAST_STATES + 1).count() > BROADCAST_STATES:
-        raise ValueError(f"over {BROADCAST_STATES} states: key them and use asof_by_key")
-    until = F.lead("available").over(Window.partitionBy(F.lit(0)).orderBy("available"))  # of a checked size
-    ranged = states.withColumn("_until", until)
-    found = queries.join(F.broadcast(ranged), (F.col(at) >= F.col("available")) & (F.col("_until").isNull() | (F.col(at) < F.col("_until"))), "left").drop("_until")
-    return found.withColumn("age_hours", (F.col(at) - F.col("available")) / HOUR)
+    values = states.columns
+    asked = queries.withColumn("_bucket", F.floor(F.col(at) / BUCKET))
+    stated = states.withColumn("_bucket", F.floor(F.col("available") / BUCKET))
+    last = stated.groupBy("_bucket").agg(F.max_by(F.struct(*values), "available").alias("_last"))
+    buckets = asked.select("_bucket").distinct().join(last, "_bucket", "full")
+    before = F.last("_last", ignorenulls=True).over(Window.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))  # one row a day
+    carried = buckets.select("_bucket", before.alias("_s")).where("_s IS NOT NULL").select(*[F.col(f"_s.{x}").alias(x) for x in values], "_bucket")
+    return asof_by_key(asked, stated.unionByName(carried), at, "_bucket").drop("_bucket")
 
 
 def asof_by_key(queries: DataFrame, states: DataFrame, at: str, key: str) -> DataFrame:

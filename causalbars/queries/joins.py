@@ -13,17 +13,23 @@ from ._sql import BARS, pos, r, rounded, rs, shift
 from .features import bars_of, one
 
 
+def _calendar(spark, days):
+    """The calendar from the first to the last of ``days``."""
+    ends = days.agg(F.min("day").cast("string").alias("first"), F.max("day").cast("string").alias("last")).first()
+    return clocks.calendar(spark, ends["first"] or "1970-01-01", ends["last"] or "1970-01-01")
+
+
 def daily_states(spark, d):
     """Daily averages of orders with the instant each could first be known; bundles reduced to their last day."""
     daily = src.table(spark, d, "orders").groupBy(src.day_of("o_orderdate").alias("day")).agg(F.avg("o_totalprice").alias("value"), F.count("*").alias("orders"))
-    known = daily.join(clocks.calendar(spark, "2017-07-01", "2024-02-28").select("day", "next_business"), "day")
+    known = daily.join(_calendar(spark, daily).select("day", "next_business"), "day")
     dated = known.select(clocks.daily_release(F.col("day"), F.col("next_business")).alias("available"), F.datediff("day", F.lit("1970-01-01")).cast("long").alias("observed"), "value", "orders")
     return bar_op.release_bundles(dated)
 
 
 def publication_calendar(spark, d):
     days = src.table(spark, d, "orders").select(src.day_of("o_orderdate").alias("day")).distinct()
-    known = days.join(clocks.calendar(spark, "2017-07-01", "2024-02-28"), "day")
+    known = days.join(_calendar(spark, days), "day")
     day = F.col("day")
     tuesday = F.date_sub(day, F.pmod(F.weekday(day) - 1, F.lit(7)))
     return known.select(F.datediff("day", F.lit("1970-01-01")).alias("day"), "is_business", clocks.daily_release(day, F.col("next_business")).alias("daily_t"), clocks.close_release(day).alias("close_t"), clocks.weekly_release(tuesday).alias("weekly_t"))
@@ -89,8 +95,8 @@ def overlap_revisions(spark, d):
     return ledger.revisions(_stored(spark, d), _incoming(spark, d), ["series", "t"], ["close", "high"])
 
 
-def _segments(spark, d, which="order_key % 4 = 0", seconds=86_400):
-    ticks = src.ticks(spark, d).where(which)
+def _segments(spark, d, seconds=86_400):
+    ticks = src.ticks(spark, d)
     return ticks.select(F.concat_ws("|", "series", F.floor(F.col("t") / seconds).cast("string")).alias("segment"), (F.col("t") * 1_000_000 + F.col("order_key")).alias("t"), F.round(F.col("price") * 100).cast("long").alias("cents"))
 
 
@@ -99,12 +105,13 @@ def _heads(rows):
 
 
 def ledger_chain(spark, d):
+    """All events, chained by series and day."""
     return _heads(_segments(spark, d))
 
 
 def ledger_chain_whole(spark, d):
     """All events, chained by series and hour so that a hot series is many segments."""
-    return _heads(_segments(spark, d, "true", 3600))
+    return _heads(_segments(spark, d, 3600))
 
 
 def _faults(rows):
@@ -118,22 +125,18 @@ def ledger_verify(spark, d):
 
 def ledger_verify_whole(spark, d):
     """As ledger_chain_whole: all events by series and hour."""
-    return _faults(_segments(spark, d, "true", 3600))
+    return _faults(_segments(spark, d, 3600))
 
 
-def _outcomes(spark, d, which):
+def holdout_outcomes(spark, d):
     own = features.momentum_columns(lags=(1,))["log_return_1h"]
-    predictions = bars_of(spark, d).select("series", "t", own.alias("pred")).where("pred IS NOT NULL").where(which)
+    predictions = bars_of(spark, d).select("series", "t", own.alias("pred")).where("pred IS NOT NULL")
     return rounded(ledger.outcomes(predictions, bars_of(spark, d)))
 
 
-def holdout_outcomes(spark, d):
-    return _outcomes(spark, d, "t % 10800 = 0")
-
-
 def holdout_outcomes_whole(spark, d):
-    """All predictions."""
-    return _outcomes(spark, d, "true")
+    """The same as holdout_outcomes, which once read a third of the predictions."""
+    return holdout_outcomes(spark, d)
 
 
 def thirty_day_blocks(spark, d):
@@ -200,7 +203,7 @@ def _new_york(x: str, seconds: int) -> str:
     return f"(date_diff('day', DATE '1970-01-01', {x}) * 86400 + {seconds} + CASE WHEN {summer} THEN 14400 ELSE 18000 END)::BIGINT"
 
 
-_CALENDAR = f"""days AS (SELECT unnest(range(DATE '2017-07-01', DATE '2024-03-20', INTERVAL 1 DAY))::DATE AS day), cal0 AS (SELECT day, isodow(day) < 6 AND NOT {_holiday("day")} AS is_business FROM days),
+_CALENDAR = f"""days AS (SELECT unnest(range((SELECT min(o_orderdate::DATE + {src.SHIFT_DAYS}) FROM orders)::TIMESTAMP, (SELECT max(o_orderdate::DATE + {src.SHIFT_DAYS}) + 16 FROM orders)::TIMESTAMP, INTERVAL 1 DAY))::DATE AS day), cal0 AS (SELECT day, isodow(day) < 6 AND NOT {_holiday("day")} AS is_business FROM days),
 cal AS (SELECT day, is_business, min(CASE WHEN is_business THEN day END) OVER (ORDER BY day ROWS BETWEEN 1 FOLLOWING AND 14 FOLLOWING) AS nxt FROM cal0)"""
 _DAY = f"(o_orderdate::DATE + {src.SHIFT_DAYS})"
 _STATES = f"""{_CALENDAR}, daily AS (SELECT {_DAY} AS day, avg(o_totalprice) AS value, count(*) AS orders FROM orders GROUP BY 1),
@@ -225,7 +228,7 @@ _LATER |= {f"{n}_zscore_{w}release": f"({n} - ({pos('avg', n, w, 'observed')}))
 _WEEKLY = "weekly AS (SELECT l_returnflag AS series, date_diff('day', DATE '1970-01-01', l_shipdate::DATE) // 7 AS observed, sum(l_quantity) AS open_interest, " + ", ".join(f"sum(CASE WHEN l_partkey % {len(GROUPS)} = {i} THEN l_quantity ELSE 0 END) AS {g}" for i, g in enumerate(GROUPS)) + " FROM lineitem GROUP BY 1, 2)"
 _MERGE = BARS + """, stored AS (SELECT series, t, close, high FROM bars WHERE t % 7200 = 0 OR t % 10800 = 0),
 incoming AS (SELECT series, t, CASE WHEN t % 14400 = 0 THEN close * 1.01::DOUBLE ELSE close * (1 + 1e-14) END AS close, high FROM bars)"""
-_CHAIN = BARS + """, seg AS (SELECT series || '|' || (t // 86400) AS segment, t * 1000000 + k AS t, round(price * 100)::BIGINT AS cents FROM ticks WHERE k % 4 = 0),
+_CHAIN = BARS + """, seg AS (SELECT series || '|' || (t // 86400) AS segment, t * 1000000 + k AS t, round(price * 100)::BIGINT AS cents FROM ticks),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY t) AS n FROM seg)"""
 
 QUERIES = {f.__name__: f for f in (publication_calendar, exact_align_join, asof_published_state, asof_by_key, release_changes, zscore_release, positioning_features, idempotent_merge_classify, left_anti_append, overlap_revisions, ledger_chain, ledger_chain_whole, ledger_verify, ledger_verify_whole, holdout_outcomes, holdout_outcomes_whole, thirty_day_blocks, decision_status, latest_n, overlap_is_empty, missing_report, freshness_status, model_comparison)}
@@ -252,7 +255,7 @@ ORACLES = {
       UNION ALL SELECT x.segment, x.n, sha256(c.h || '|cents=' || x.cents || '|t=' || x.t) FROM chain c JOIN numbered x ON x.segment = c.segment AND x.n = c.n + 1) SELECT segment, max(n) AS n, arg_max(h, n) AS head FROM chain GROUP BY segment""",
     "ledger_verify": f"WITH {_CHAIN} SELECT segment, t, 'CHANGED_ROW' AS fault FROM seg WHERE t % 1009 = 0",
     "holdout_outcomes": f"""WITH {BARS}, p AS (SELECT series, t, ln(close) - ln(max(close) OVER (PARTITION BY series ORDER BY t RANGE BETWEEN 3600 PRECEDING AND 3600 PRECEDING)) AS pred FROM bars)
-      SELECT p.series, p.t, {rs({"pred": "pred", "close": "a.close", "next_close": "b.close", "actual": "ln(b.close / a.close)"})} FROM p JOIN bars a USING (series, t) JOIN bars b ON b.series = p.series AND b.t = p.t + 3600 WHERE pred IS NOT NULL AND p.t % 10800 = 0""",
+      SELECT p.series, p.t, {rs({"pred": "pred", "close": "a.close", "next_close": "b.close", "actual": "ln(b.close / a.close)"})} FROM p JOIN bars a USING (series, t) JOIN bars b ON b.series = p.series AND b.t = p.t + 3600 WHERE pred IS NOT NULL""",
     "thirty_day_blocks": f"""WITH {BARS}, x AS (SELECT series, (t - 1704067200) // 432000 AS block, CASE WHEN lead(t) OVER w = t + 3600 THEN ln(lead(close) OVER w) - ln(close) END AS y FROM bars WINDOW w AS (PARTITION BY series ORDER BY t)),
       m AS (SELECT series, block, count(*) AS n, avg(y) AS mean FROM x WHERE y IS NOT NULL GROUP BY ALL), sp AS (SELECT series, unnest(range(0, 6)) AS block FROM (SELECT DISTINCT series FROM x WHERE y IS NOT NULL)),
       j AS (SELECT sp.series, sp.block, coalesce(n, 0) AS n, mean FROM sp LEFT JOIN m USING (series, block)) SELECT series, block, n, {r("mean", "mean")}, sum(coalesce(mean > 0, false)::INT) OVER (PARTITION BY series)::BIGINT AS positive_blocks FROM j""",
@@ -268,6 +271,13 @@ ORACLES = {
 }
 
 
+def _hourly_segments(sql: str) -> str:
+    return sql.replace("(t // 86400) AS segment", "(t // 3600) AS segment")
+
+
+ORACLES |= {"ledger_chain_whole": _hourly_segments(ORACLES["ledger_chain"]), "ledger_verify_whole": _hourly_segments(ORACLES["ledger_verify"]), "holdout_outcomes_whole": ORACLES["holdout_outcomes"]}
+
+
 def _fill() -> None:
     from .evaluation import PRED
     from .features import ORACLES as feature_sql

@@ -53,6 +53,8 @@ class RevisionConflict(ValueError):
 def idempotent_writer(path: str, schema: T.StructType, keys: Sequence[str], numbers: Sequence[str]) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` sink: new keys are appended, identical rows ignored, changed rows raise RevisionConflict.
 
+    A key that stands in one batch with different values is a conflict too. Where ``t`` is a key, only the stored rows
+    of the batch's range of times are read.
     The batch number is a partition, written with overwrite, so a batch that is retried replaces itself.
     """
 
@@ -64,12 +66,20 @@ def idempotent_writer(path: str, schema: T.StructType, keys: Sequence[str], numb
             if "PATH_NOT_FOUND" not in str(error):
                 raise
             stored = spark.createDataFrame([], schema)
-        rows = ledger.classify(batch.dropDuplicates(list(keys)), stored, keys, numbers).persist()
+        batch = batch.persist()
+        first = batch.dropDuplicates(list(keys))
+        if "t" in keys:
+            span = batch.agg(F.min("t").alias("low"), F.max("t").alias("high")).first()
+            stored = stored.where(F.col("t").between(span["low"], span["high"]))
+        rows = ledger.classify(first, stored, keys, numbers).persist()
         try:
+            if not ledger.classify(batch, first, keys, numbers).where("change = 'conflict'").isEmpty():
+                raise RevisionConflict(f"batch {number} holds a key with different values")
             if not rows.where("change = 'conflict'").isEmpty():
                 raise RevisionConflict(f"batch {number} revises stored rows")
             rows.where("change = 'new'").drop("change").write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={number}")
         finally:
             rows.unpersist()
+            batch.unpersist()
 
     return write
