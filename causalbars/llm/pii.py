@@ -8,7 +8,7 @@ forms that miss the exact format (spelt-out signs, odd or dropped separators, no
 negatives are candidates that a validator refutes (wrong checksum, parts over 255, digits inside longer words) and
 decoys put in the same places (dates, amounts, item numbers, plain words around "(at)"). Candidates that are neither
 stay unlabelled. A held-out part of the sample calibrates scores (Platt) and picks each kind's threshold for the
-wanted precision; a kind with few held-out positives takes the threshold of all kinds together.
+wanted precision over what no validator refutes; a kind with few held-out positives takes the threshold of all kinds together.
 
 Defined results: a null text counts as empty; an empty text has no spans; repeated rows repeat their result;
 null ids pass through; only the named columns are read; an empty table gives an empty table. One narrow pass
@@ -155,14 +155,16 @@ def disguises(kind: str, span: str) -> list[str]:
     return [f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"00{number[:-10]} {a} {b} {c}", f"{number[:-10]}-{a}-{b}-{c}", f"{a} {b} {c}", f"{a}/{b}-{c}"]
 
 
-def decoys(kind: str, seed: int, words: list[str]) -> list[str]:
+def decoys(kind: str, seed: int, words: list[str], span: str) -> list[str]:
     """Harmless texts that the generators propose as this kind."""
     n = f"{seed % 10**8:08d}"
     if kind == "email":
         w = [words[(seed >> i) % len(words)] if words else "word" for i in (0, 3, 6)]
         return [f"{w[0]} (at) {w[1]}. {w[2].capitalize()}", f"{w[0]} @ {w[1]}. {w[2]}", f"{w[0]} (at) {w[1]}.{w[2].capitalize()}", f"{w[0]} @ {n[:2]}.{n[2:4]}"]
     if kind == "ip":
-        return [f"{int(n[:2]) + 256}[.]{n[2]}[.]{n[3]}[.]{n[4:6]}", f"{n[:3]} . {n[3]} . {int(n[4:6]) + 300} . {n[6]}"]
+        parts = span.split(".")
+        parts[seed % len(parts)] = str(256 + seed % 700)
+        return [d.join(parts) for d in ("[.]", "(.)", "[dot]", " . ")]
     if kind == "card":
         return [f"{n[:4]}.{n[4:]}.{n[:4]}.{n[2:6]}", f"{n}  {n[::-1]}", f"{n[:6]}/{n}"]
     return [f"20{n[:2]}-{1 + seed % 12:02d}-{10 + seed % 18}", f"{10 + seed % 18}.{1 + seed % 12:02d}.19{n[:2]}", f"{n}", f"{n[:2]}.{n[2:5]}.{n[5:]}", f"20{n[:2]}/20{n[2:4]}", f"978-{n[0]}-{n[1:3]}-{n[2:8]}-{n[7]}", f"20{n[:2]}-{1 + seed % 12:02d}-{10 + seed % 18} {10 + seed % 13}"]
@@ -179,24 +181,26 @@ def refuted(kind: str, text: str, start: int, end: int) -> bool:
     return kind == "ip" and any(int(g[-4:]) > 255 for g in _DIGITS.findall(span))
 
 
-def examples(text: str) -> list[tuple[str, list[float], bool]]:
-    """Training examples (a key, features, personal) of one text: no candidate that meets the exact format."""
+def examples(text: str) -> list[tuple[str, list[float], bool, bool]]:
+    """Training examples (a key, features, personal, refuted) of one text: no candidate that meets the exact format."""
     found = candidates(text)
     if not found:
         return []
     base, made = base_spans(text), []
     for kind, s, e in found:
         if not any(s < b and a < e for _, a, b in base) and refuted(kind, text, s, e):
-            made.append((text[max(0, s - 8) : e + 8], describe(text, kind, s, e), False))
+            made.append((text[max(0, s - 8) : e + 8], describe(text, kind, s, e), False, True))
     for kind, s, e in base:
         left, right = text[max(0, s - 40) : s], text[e : e + 20]
         seed = zlib.crc32(text[max(0, s - 40) : e].encode())
         words = re.findall(r"[A-Za-z]{2,}", left)
-        for personal, forms in ((True, disguises(kind, text[s:e])), (False, decoys(kind, seed, words))):
+        for personal, forms in ((True, disguises(kind, text[s:e])), (False, decoys(kind, seed, words, text[s:e]))):
             form = forms[seed % len(forms)]
             placed, a, b = left + form + right, len(left), len(left) + len(form)
             if (kind, a, b) in candidates(placed) and not any(x < b and a < y for _, x, y in base_spans(placed)):
-                made.append((form, describe(placed, kind, a, b), personal))
+                out = refuted(kind, placed, a, b)
+                if personal or out or kind != "card":  # a decoy with a card's checksum is no decoy
+                    made.append((form, describe(placed, kind, a, b), personal, out))
     return made
 
 
@@ -280,7 +284,11 @@ def calibrate(trees: Trees, x: np.ndarray, y: np.ndarray, precision: float = WAN
         order = np.argsort(-p[own], kind="stable")
         right = (np.cumsum(y[own][order]) + 1) / (np.arange(1, own.sum() + 1) + 1)
         fine = np.flatnonzero(right >= precision)
-        return float(max(p[own][order][fine[-1]], 0.5)) if len(fine) else float(p[own].max(initial=0.5))
+        if not len(fine):
+            return float(p[own].max(initial=0.5))
+        last = fine[-1]
+        below = own.nonzero()[0][order][last : last + 2]  # half way between the last accepted and the first rejected
+        return float(_sigmoid(trees.scale[0] * z[below].mean() + trees.scale[1])) if len(below) == 2 else min(0.5, float(p[below[0]]))
 
     kinds = [x[:, 0] == kind for kind in range(len(KINDS))]
     together = lowest(np.ones(len(y), bool))
@@ -292,11 +300,11 @@ def fit(docs: DataFrame, text_col: str = "text", most: int = SAMPLE_CANDIDATES)
     """Trees fitted on at most ``most`` candidates: those with the lowest hashes of their text and place."""
 
     def compute(texts: list[str]):
-        rows = [[{"key": k, "x": [float(v) for v in x], "y": y} for k, x, y in examples(text)] for text in texts]
-        kind = pa.list_(pa.struct([("key", pa.string()), ("x", pa.list_(pa.float64())), ("y", pa.bool_())]))
+        rows = [[{"key": k, "x": [float(v) for v in x], "y": y, "refuted": r} for k, x, y, r in examples(text)] for text in texts]
+        kind = pa.list_(pa.struct([("key", pa.string()), ("x", pa.list_(pa.float64())), ("y", pa.bool_()), ("refuted", pa.bool_())]))
         return [pa.array(rows, kind)]
 
-    found = map_texts(docs, text_col, (), "found array<struct<key: string, x: array<double>, y: boolean>>", compute)
+    found = map_texts(docs, text_col, (), "found array<struct<key: string, x: array<double>, y: boolean, refuted: boolean>>", compute)
     different = materialize(found.select(F.explode("found").alias("c")).select("c.*").distinct(), "candidates")
     share = min(1.0, 2 * most / max(1, different.count()))  # so that partitions send about 2 x most rows together
     some = different.where(F.pmod(F.xxhash64("key", "x"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
@@ -305,9 +313,10 @@ def fit(docs: DataFrame, text_col: str = "text", most: int = SAMPLE_CANDIDATES)
         return None
     x, y = np.array([r["x"] for r in sample]), np.array([r["y"] for r in sample], float)
     held = np.arange(len(y)) % 10 < 3
-    if len(set(y[~held])) < 2:
+    asked = held & ~np.array([r["refuted"] for r in sample])  # refuted candidates are never asked about
+    if len(set(y[~held])) < 2 or not asked.any():
         return None
-    return calibrate(fit_trees(x[~held], y[~held]), x[held], y[held])
+    return calibrate(fit_trees(x[~held], y[~held]), x[asked], y[asked])
 
 
 def find_all(texts: list[str], trees: Trees | None) -> list[tuple[list, list]]:
@@ -318,7 +327,7 @@ def find_all(texts: list[str], trees: Trees | None) -> list[tuple[list, list]]:
         results.append((base, list(base)))
         if trees is not None:
             for k, s, e in candidates(text):
-                if not any(s < b and a < e for _, a, b in base):
+                if not any(s < b and a < e for _, a, b in base) and not refuted(k, text, s, e):
                     asked.append((i, k, s, e))
                     x.append(describe(text, k, s, e))
     if asked:
