@@ -52,6 +52,66 @@ def gram(rows: DataFrame, features: Sequence[str], label: str, by: Sequence[str]
     return wide.select(*by, "n", F.explode(entries).alias("e")).select(*by, "n", "e.*")
 
 
+def ridge_of(moment: np.ndarray, at: Sequence[int], label: int, alpha: float) -> tuple[float, np.ndarray]:
+    """Offset and weights of a ridge on standardised features (population deviation, unpenalised intercept) from the
+    sums of products of ("1", columns): ``at`` and ``label`` are places of the features and the label.
+
+    The system has one row a feature, whatever the number of rows summed. Without features: the label's mean.
+    """
+    n, target = moment[0, 0], moment[0, label] / moment[0, 0]
+    if not len(at):
+        return float(target), np.zeros(0)
+    at = np.asarray(at)
+    mean = moment[0, at] / n
+    spread = moment[np.ix_(at, at)] / n - np.outer(mean, mean)
+    scale = np.sqrt(np.maximum(np.diag(spread), 0))
+    scale[scale < 1e-12] = 1.0
+    product = (moment[at, label] / n - mean * target) / scale * n
+    weights = np.linalg.solve(spread / np.outer(scale, scale) * n + alpha * np.eye(len(at)), product) / scale
+    return float(target - weights @ mean), weights
+
+
+def solve_groups(cells: DataFrame, keys: Sequence[str], subsets: dict[str, Sequence[str]], label: str, alpha: float, expanding: str | None = None, least: int = 1) -> DataFrame:
+    """Ridges of each group of :func:`gram` cells and feature subset, solved on the executors: keys, model, n, offset and
+    weights over the sorted features of all subsets.
+
+    With ``expanding`` (a key), a group's fit takes the sums of the groups before it by that key, and the first has
+    none. Groups with fewer than ``least`` rows have none.
+    """
+    import pandas as pd
+
+    names = ["1", *sorted({f for s in subsets.values() for f in s}), label]
+    place = {x: i for i, x in enumerate(names)}
+    outer = [k for k in keys if k != expanding]
+    kinds = ", ".join(f"`{k}` {cells.schema[k].dataType.simpleString()}" for k in keys)
+
+    def solve(frame: pd.DataFrame) -> pd.DataFrame:
+        rows, total = [], np.zeros((len(names), len(names)))
+        for _, own in frame.groupby(expanding, sort=True) if expanding else [(None, frame)]:
+            moment = np.zeros_like(total)
+            moment[0, 0] = own["n"].iloc[0]
+            for i, j, v in zip(own["i"], own["j"], own["sum_xy"]):
+                if i in place and j in place:
+                    moment[place[i], place[j]] = moment[place[j], place[i]] = v
+            used = total.copy() if expanding else moment
+            total += moment
+            if used[0, 0] >= max(least, 1):
+                for model, features in subsets.items():
+                    offset, weights = ridge_of(used, [place[f] for f in features], place[label], alpha)
+                    line = np.zeros(len(names))
+                    line[[place[f] for f in features]] = weights
+                    rows.append((*(own[k].iloc[0] for k in keys), model, int(used[0, 0]), offset, line[1:-1].tolist()))
+        return pd.DataFrame(rows, columns=[*keys, "model", "n", "offset", "weights"])
+
+    return cells.groupBy(*outer).applyInPandas(solve, f"{kinds}, model string, n long, offset double, weights array<double>")
+
+
+def dot(features: Sequence[str], weights: str) -> Column:
+    """The sum of features times the entries of an array column."""
+    products = F.zip_with(F.array(*[F.col(f).cast("double") for f in features]), weights, lambda x, w: x * w)
+    return F.aggregate(products, F.lit(0.0), lambda a, x: a + x)
+
+
 def solve_ridge(cells: Sequence[tuple[str, str, float]], n: int, features: Sequence[str], label: str, alpha: float) -> dict:
     """Ridge on standardised features (population deviation, unpenalised intercept) from one group's sums.
 

@@ -15,36 +15,19 @@ from ..functions.scalars import wilson_lower
 from ..operators import linear
 
 
-def _expanding(cells: list, features: Sequence[str], alpha: float, keys: Sequence[str], least: int) -> list[tuple]:
-    """(keys, fold, offset, weights) of ridges for each fold from the sums of earlier folds; small systems only."""
-    sums: dict[tuple, dict[int, tuple[int, dict]]] = {}
-    for c in cells:
-        n, own = sums.setdefault(tuple(c[k] for k in keys), {}).setdefault(c["fold"], (c["n"], {}))
-        own[c["i"], c["j"]] = c["sum_xy"]
-    solved = []
-    for key, folds in sums.items():
-        for fold in sorted(folds)[1:]:
-            earlier = [folds[f] for f in folds if f < fold]
-            n = sum(e[0] for e in earlier)
-            if n >= least:
-                total = {ij: sum(e[1][ij] for e in earlier) for ij in earlier[0][1]}
-                fit = linear.solve_ridge([(i, j, v) for (i, j), v in total.items()], n, list(features), "actual", alpha)
-                weights = (fit["coefficients"] / fit["scales"]).tolist()
-                solved.append((*key, fold, float(fit["intercept"] - sum(w * m for w, m in zip(weights, fit["means"]))), [float(w) for w in weights]))
-    return solved
+def _expanding(cells: DataFrame, features: Sequence[str], alpha: float, keys: Sequence[str], least: int) -> DataFrame:
+    """(keys, fold, offset, weights) of ridges for each fold from the sums of earlier folds, solved on the executors."""
+    return linear.solve_groups(cells, [*keys, "fold"], {"ridge": features}, "actual", alpha, "fold", least).drop("model", "n")
 
 
 def _score(frame: DataFrame, table: DataFrame, features: Sequence[str], on: list[str]) -> DataFrame:
-    products = F.zip_with(F.array(*[F.col(f).cast("double") for f in features]), "weights", lambda x, w: x * w)
-    return frame.join(table, on, "left").withColumn("pred", F.col("offset") + F.aggregate(products, F.lit(0.0), lambda a, x: a + x)).drop("offset", "weights")
+    return frame.join(table, on, "left").withColumn("pred", F.col("offset") + linear.dot(sorted(features), "weights")).drop("offset", "weights")
 
 
 def stack(predictions: DataFrame, models: Sequence[str], alpha: float = 1.0, least: int = 50) -> DataFrame:
     """A ridge on the models' predictions, fitted on earlier folds' out-of-fold rows; the first fold has none."""
     wide = predictions.groupBy("series", "fold", "t", "close", "actual").pivot("model", list(models)).agg(F.first("pred"))
-    cells = linear.gram(wide.na.drop(), list(models), "actual", ["series", "fold"]).collect()  # a few sums a fold
-    solved = _expanding(cells, models, alpha, ("series",), least)
-    table = predictions.sparkSession.createDataFrame(solved, "series string, fold int, offset double, weights array<double>")
+    table = _expanding(linear.gram(wide.na.drop(), list(models), "actual", ["series", "fold"]), models, alpha, ("series",), least)
     return _score(wide, table, models, ["series", "fold"]).where("pred IS NOT NULL").select("series", F.lit("stack").alias("model"), "fold", "t", "close", "actual", "pred")
 
 
@@ -71,11 +54,10 @@ def regime_specialists(rows: DataFrame, features: Sequence[str], regime: str = "
     """Ridges for each regime, fitted on earlier folds of (series, regime, fold, features, actual); regimes with
     fewer than ``least`` rows fall back to the series' own ridge, then to zero."""
     filled = rows.na.fill(0.0, list(features)).where(F.col(regime).isNotNull())
-    spark = rows.sparkSession
-    own = _expanding(linear.gram(filled, features, "actual", ["series", regime, "fold"]).collect(), features, alpha, ("series", regime), least)
-    whole = _expanding(linear.gram(filled, features, "actual", ["series", "fold"]).collect(), features, alpha, ("series",), least)
-    special = _score(filled, spark.createDataFrame(own, f"series string, {regime} string, fold int, offset double, weights array<double>"), features, ["series", regime, "fold"]).withColumnRenamed("pred", "_special")
-    both = _score(special, spark.createDataFrame(whole, "series string, fold int, offset double, weights array<double>"), features, ["series", "fold"])
+    own = _expanding(linear.gram(filled, features, "actual", ["series", regime, "fold"]), features, alpha, ("series", regime), least)
+    whole = _expanding(linear.gram(filled, features, "actual", ["series", "fold"]), features, alpha, ("series",), least)
+    special = _score(filled, own, features, ["series", regime, "fold"]).withColumnRenamed("pred", "_special")
+    both = _score(special, whole, features, ["series", "fold"])
     source = F.when(F.col("_special").isNotNull(), "SPECIALIST").when(F.col("pred").isNotNull(), "SERIES").otherwise("BASELINE")
     return both.withColumns({"source": source, "pred": F.coalesce("_special", "pred", F.lit(0.0))}).drop("_special")
 

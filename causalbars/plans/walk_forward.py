@@ -14,28 +14,15 @@ def ridge_walk_forward(rows: DataFrame, subsets: dict[str, Sequence[str]], alpha
     """Predictions (series, model, fold, t, actual, pred) of a ridge for each feature subset and fold.
 
     Rows need (series, t, target_t, close, actual) and all features; missing features count as zero. Sums of
-    products are taken once a fold's train rows; each subset solves its own small system from them. Only the sums,
-    (features + 1)² / 2 a series and fold, reach the driver.
+    products are taken once a fold's train rows; each subset solves its own small system from them, on the executor
+    that has the series and fold.
     """
     names = sorted({f for s in subsets.values() for f in s})
-    marked = splits.walk_forward(rows.na.fill(0.0, names), folds).persist()
-    cells = linear.gram(marked.where("role = 'train'"), names, "actual", ["series", "fold"]).collect()
-    sums: dict[tuple, list] = {}
-    for c in cells:
-        sums.setdefault((c["series"], c["fold"]), []).append(c)
-    solved = []
-    for (series, fold), own in sums.items():
-        for model, features in subsets.items():
-            wanted = {*features, "actual", "1"}
-            used = [(c["i"], c["j"], c["sum_xy"]) for c in own if c["i"] in wanted and c["j"] in wanted]
-            fit = linear.solve_ridge(used, own[0]["n"], list(features), "actual", alpha)
-            weights = dict(zip(features, (fit["coefficients"] / fit["scales"]).tolist()))
-            offset = float(fit["intercept"] - sum(weights[f] * m for f, m in zip(features, fit["means"])))
-            solved.append((series, fold, model, offset, [float(weights.get(f, 0.0)) for f in names]))
-    table = rows.sparkSession.createDataFrame(solved, "series string, fold int, model string, offset double, weights array<double>")
+    marked = splits.walk_forward(rows.na.fill(0.0, names), folds)
+    cells = linear.gram(marked.where("role = 'train'"), names, "actual", ["series", "fold"])
+    table = linear.solve_groups(cells, ["series", "fold"], subsets, "actual", alpha).drop("n")
     scored = marked.where("role = 'validation'").join(table, ["series", "fold"])
-    products = F.zip_with(F.array(*[F.col(f).cast("double") for f in names]), "weights", lambda x, w: x * w)
-    pred = F.col("offset") + F.aggregate(products, F.lit(0.0), lambda a, x: a + x)
+    pred = F.col("offset") + linear.dot(names, "weights")
     return scored.select("series", "model", "fold", "t", "close", "actual", pred.alias("pred"))
 
 

@@ -50,6 +50,16 @@ def delta_decode(spark, d):
     return rounded(payloads.decode_deltas(payloads.encode_deltas(src.bars(spark, d))))
 
 
+def delta_payloads(spark, d):
+    """Payloads whose first prices are three units off the first bar: only a decoder that adds them to the deltas gets
+    the bars back."""
+    sent = payloads.encode_deltas(src.bars(spark, d))
+    off = [(F.col(p) - 3 * F.col("multiplier")).alias(p) for p in payloads.PRICES]
+    first = [F.transform(f"{p}s", lambda x, i: F.when(i == 0, x + 3).otherwise(x)).alias(f"{p}s") for p in payloads.PRICES]
+    kept = sent.where(" AND ".join(f"{p} > 0.03" for p in payloads.PRICES))
+    return rounded(payloads.decode_deltas(kept.select("series", "timestamp", "shift", "multiplier", "times", *off, *first)))
+
+
 MINUTES = BARS + """,
 minutes AS (SELECT series, user_id % 3 AS archive, k * 2 + CASE WHEN k % 501 = 0 THEN 7 ELSE 0 END AS row_no, t // 60 * 60 AS t,
   price AS open, price + 0.5 AS high, price - least(0.5, price / 2) AS low, price AS close FROM ticks),
@@ -74,7 +84,7 @@ bad AS (SELECT * FROM by_hour UNION SELECT * FROM turned),
 single AS (SELECT series, archive, hour, t, arg_min((open, high, low, close), row_no) AS m FROM valid ANTI JOIN bad USING (series, archive, hour) GROUP BY ALL),
 fragments AS (SELECT series, archive, hour AS t, (arg_min(m[1], t), max(m[2]), min(m[3]), arg_max(m[4], t)) AS v FROM single GROUP BY series, archive, hour)"""
 
-QUERIES = {f.__name__: f for f in (bars_h1, bars_quarantine, suspicious_hours, aggregation_report, bars_stitch, dedupe_keep_last, release_bundle, ohlc_validate, delta_decode)}
+QUERIES = {f.__name__: f for f in (bars_h1, bars_quarantine, suspicious_hours, aggregation_report, bars_stitch, dedupe_keep_last, release_bundle, ohlc_validate, delta_decode, delta_payloads)}
 ORACLES = {
     "bars_h1": f"WITH {BARS} SELECT series, t, {_OHLC}, n_ticks FROM bars",
     "bars_quarantine": f"WITH {MINUTES} SELECT series, t, {_OHLC}, minute_count, quality FROM clean",
@@ -89,5 +99,13 @@ ORACLES = {
       SELECT observed // 7 * 7 + 9 AS available, max(observed) AS observed, {r("arg_max(value, observed)", "value")}, count(*) AS bundle_size FROM s GROUP BY observed // 7 * 7 + 9""",
     "ohlc_validate": f"""WITH {MINUTES}, per_t AS (SELECT series, t, count(*) AS n, count(*) FILTER (NOT ok) AS bad FROM valid GROUP BY ALL)
       SELECT series, sum(n)::BIGINT AS rows, count(*) FILTER (n > 1) AS duplicate_times, count(*) FILTER (t % 3600 <> 0) AS off_hour_times, sum(bad)::BIGINT AS invalid_rows, min(t) AS first_t, max(t) AS last_t FROM per_t GROUP BY series""",
+    "delta_payloads": f"""WITH {BARS},
+      u AS (SELECT series, t, t // 86400 AS day, {", ".join(f"round({x} / 0.01)::BIGINT AS {x}" for x in op.OHLC)} FROM bars),
+      sent AS (SELECT series, day, min(t) * 1000 AS start_ms, {", ".join(f"(arg_min({x}, t) - 3) * 0.01::DOUBLE AS {x}, list({x} ORDER BY t) AS {x}s" for x in op.OHLC)}, list(t ORDER BY t) AS ts FROM u GROUP BY series, day),
+      d AS (SELECT series, day, start_ms, {", ".join(op.OHLC)}, unnest(range(1, len(ts) + 1)) AS i, {", ".join(f"{x}s" for x in op.OHLC)}, ts FROM sent WHERE {" AND ".join(f"{x}s[1] > 3" for x in op.OHLC)}),
+      s AS (SELECT series, day, start_ms, i, {", ".join(op.OHLC)}, CASE WHEN i = 1 THEN 0 ELSE (ts[i] - ts[i - 1]) // 3600 END AS dt,
+        {", ".join(f"CASE WHEN i = 1 THEN 3 ELSE {x}s[i] - {x}s[i - 1] END AS d_{x}" for x in op.OHLC)} FROM d)
+      SELECT series, ((start_ms + 3600000 * sum(dt) OVER w) // 1000)::BIGINT AS t, {rs({x: f"(round({x} / 0.01) + sum(d_{x}) OVER w) * 0.01" for x in op.OHLC})}
+      FROM s WINDOW w AS (PARTITION BY series, day ORDER BY i)""",
     "delta_decode": f"WITH {BARS} SELECT series, t, {_OHLC} FROM bars",
 }

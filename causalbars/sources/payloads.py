@@ -13,34 +13,49 @@ from ..functions.timeops import HOUR
 MULTIPLIER = 0.01
 
 
+PRICES = ("open", "high", "low", "close")
+
+
 def encode_deltas(bars: DataFrame) -> DataFrame:
-    """One payload a series and day: start, shift, multiplier, first prices and integer deltas (hundredths)."""
+    """One payload a series and day: start and shift in milliseconds, multiplier, first prices, and integer deltas of
+    times (in shifts) and prices (in multiplier units); the first deltas are 0."""
     day = F.floor(F.col("t") / (24 * HOUR))
-    named = {x: F.round(F.col(x) / MULTIPLIER).cast("long") for x in ("open", "high", "low", "close")}
+    named = {x: F.round(F.col(x) / MULTIPLIER).cast("long") for x in PRICES}
     listed = F.array_sort(F.collect_list(F.struct("t", *[v.alias(k) for k, v in named.items()])))
     days = bars.groupBy("series", day.alias("day")).agg(listed.alias("p"))
 
     def deltas(field: str) -> Column:
-        return F.transform("p", lambda x, i: x[field] - F.when(i == 0, F.lit(0)).otherwise(F.get("p", i - 1)[field]))
+        return F.transform("p", lambda x, i: x[field] - F.when(i == 0, x[field]).otherwise(F.get("p", i - 1)[field]))
 
     times = F.transform("p", lambda x, i: F.when(i == 0, F.lit(0)).otherwise(((x["t"] - F.get("p", i - 1)["t"]) / HOUR).cast("long")))
-    return days.select("series", "day", F.get("p", 0)["t"].alias("timestamp"), F.lit(HOUR).cast("long").alias("shift"), F.lit(MULTIPLIER).alias("multiplier"), times.alias("times"), *[deltas(f).alias(f"{f}s") for f in named])
+    bases = [(F.get("p", 0)[f] * MULTIPLIER).alias(f) for f in PRICES]
+    return days.select("series", "day", (F.get("p", 0)["t"] * 1000).alias("timestamp"), F.lit(HOUR * 1000).cast("long").alias("shift"), F.lit(MULTIPLIER).alias("multiplier"), *bases, times.alias("times"), *[deltas(f).alias(f"{f}s") for f in PRICES])
 
 
 def decode_deltas(payloads: DataFrame) -> DataFrame:
-    """Running sums of time and price deltas within each payload; real gaps stay gaps.
+    """Bars of payloads: first prices in whole multiplier units, plus running sums of the deltas; real gaps stay gaps.
 
-    Payloads whose arrays differ in length or whose shift is not an hour raise.
+    A payload without times has no bars. Raised are: arrays of other lengths than ``times``, a shift that is not an
+    hour, negative time deltas, a multiplier or first price that is not positive and finite, a bar that is not at a
+    whole hour, and prices that are not positive or not an OHLC bar. A repeated payload is decoded each time.
     """
-    fields = ("opens", "highs", "lows", "closes")
-    same = F.lit(True)
-    for f in fields:
-        same = same & (F.size(f) == F.size("times"))
-    checked = payloads.withColumn("times", F.when(same & (F.col("shift") == HOUR), F.col("times")).otherwise(F.raise_error(F.lit("bad payload"))))
-    keyed = checked.select("series", "timestamp", "shift", "multiplier", F.posexplode(F.arrays_zip("times", *fields)).alias("i", "x"))
-    w = Window.partitionBy("series", "timestamp").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    prices = [(F.sum(f"x.{f}").over(w) * F.col("multiplier")).alias(f[:-1]) for f in fields]
-    return keyed.select("series", (F.col("timestamp") + F.sum("x.times").over(w) * F.col("shift")).alias("t"), *prices)
+    plural = [f"{f}s" for f in PRICES]
+    positive = lambda c: c.isNotNull() & (c > 0) & (c < float("inf"))  # noqa: E731  NaN sorts above infinity
+    good = (F.col("shift") == HOUR * 1000) & ~F.exists("times", lambda x: x.isNull() | (x < 0))
+    for f in plural:
+        good = good & (F.size(f) == F.size("times")) & ~F.exists(f, lambda x: x.isNull())
+    for f in ("multiplier", *PRICES):
+        good = good & positive(F.col(f))
+    filled = payloads.where(F.size("times") > 0).withColumn("_payload", F.monotonically_increasing_id())
+    checked = filled.withColumn("times", F.when(F.coalesce(good, F.lit(False)), F.col("times")).otherwise(F.raise_error(F.lit("bad payload"))))
+    units = [F.round(F.col(f) / F.col("multiplier")).cast("long").alias(f"_{f}") for f in PRICES]
+    keyed = checked.select("series", "_payload", "timestamp", "shift", "multiplier", *units, F.posexplode(F.arrays_zip("times", *plural)).alias("i", "x"))
+    w = Window.partitionBy("_payload").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    prices = [((F.col(f"_{f}") + F.sum(f"x.{f}s").over(w)) * F.col("multiplier")).alias(f) for f in PRICES]
+    bars = keyed.select("series", (F.col("timestamp") + F.sum("x.times").over(w) * F.col("shift")).alias("_ms"), *prices)
+    valid = (F.col("_ms") % (HOUR * 1000) == 0) & (F.col("low") > 0) & (F.col("high") >= F.greatest("open", "close", "low")) & (F.col("low") <= F.least("open", "close"))
+    t = F.when(valid, F.floor(F.col("_ms") / 1000)).otherwise(F.raise_error(F.lit("bad bar in a payload")))
+    return bars.select("series", t.cast("long").alias("t"), *PRICES)
 
 
 def epoch_of(value: Column) -> Column:
