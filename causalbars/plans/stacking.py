@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import written
 from ..functions.timeops import HOUR
 from ..operators import linear, resampling
 from ..operators.splits import CHUNK, ordinals
@@ -190,20 +191,20 @@ def solve_nested(blocks: pd.DataFrame, splits: Sequence[Outer], edges: Sequence[
     for split in splits:
         trains = split.train(block)
         part = sums[trains].sum(axis=0)
-        if part[0, 0] < max(inner.least, 2):
+        if part[0, 0] < max(inner.least, 1):
             continue
         meta, starts = np.zeros((len(bases) + 2, len(bases) + 2)), split.inner(inner)
         for u, v in zip(starts, [*starts[1:], np.inf]):
             own = sums[trains & (block.label < u)].sum(axis=0)
             held = sums[trains & (block.n >= u) & (block.n < v)].sum(axis=0)
-            if own[0, 0] < max(inner.least, 2) or not held[0, 0]:
+            if own[0, 0] < max(inner.least, 1) or not held[0, 0]:
                 continue
             lines = np.stack([np.eye(k)[0], *[fit(own, b) for b in bases], np.eye(k)[label]])
             meta += lines @ held @ lines.T
         final = [fit(part, b) for b in bases]
         for base, line in zip(bases, final):
             yield split.number, base.name, line, int(part[0, 0]), int(meta[0, 0]), []
-        if meta[0, 0] >= max(inner.least, 2):
+        if meta[0, 0] >= max(inner.least, 1):
             offset, weights = linear.ridge_of(meta, list(range(1, len(bases) + 1)), len(bases) + 1, meta_alpha)
             line = sum(w * x for w, x in zip(weights, final))
             line[0] += offset
@@ -297,7 +298,8 @@ def paired_comparison(predictions: DataFrame, pairs: Sequence[tuple[str, str]],
     """One row a series and (base, candidate) pair: both errors, improvement, its block-bootstrap interval, the share of
     resamples in which the candidate is better, folds won, and the verdict of fixed rules.
 
-    The two are compared row by row on identical folds; a row that only one of them predicts raises.
+    The two are compared row by row on identical folds; a row that only one of them predicts raises. The paired errors
+    are written once, as the bootstrap reads them several times.
     """
     listed = F.explode(F.array(*[F.struct(F.lit(a).alias("base"), F.lit(b).alias("candidate")) for a, b in pairs]))
     error = F.abs(F.col("pred") - F.col("actual"))
@@ -307,6 +309,7 @@ def paired_comparison(predictions: DataFrame, pairs: Sequence[tuple[str, str]],
     whole = F.col("e_base").isNotNull() & F.col("e_candidate").isNotNull()
     paired = paired.withColumn("gain", F.when(whole, F.col("e_base") - F.col("e_candidate")).otherwise(F.raise_error(F.lit("rows of the two models differ")).cast("double")))
     keys = ["series", "base", "candidate"]
+    paired = written(paired, "paired")
     folds = paired.groupBy(*keys, "fold").agg(F.avg("e_base").alias("b"), F.avg("e_candidate").alias("c"))
     wins = folds.groupBy(*keys).agg(F.count("*").alias("folds"), F.sum((F.round("c", 12) < F.round("b", 12)).cast("long")).alias("better_folds"))
     means = paired.groupBy(*keys).agg(F.avg("e_base").alias("base_mae"), F.avg("e_candidate").alias("candidate_mae"))

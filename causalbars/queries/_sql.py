@@ -63,3 +63,32 @@ def base_least(hours: int) -> int:
 
 def cross_least(hours: int) -> int:
     return max(4, -(-hours // 2))
+
+
+def ridge(name: str, source: str, keys: str, features: list[str], label: str, alpha: float) -> str:
+    """CTEs that end in ``name`` (keys, o, w_<feature>): a ridge on standardised features of each group of ``source``,
+    by elimination written out."""
+    k, at = len(features), list(enumerate(features))
+    sums = [f"avg({f}) AS m{i}, CASE WHEN stddev_pop({f}) < 1e-12 THEN 1 ELSE stddev_pop({f}) END AS s{i}, covar_pop({f}, {label}) AS b{i}" for i, f in at]
+    sums += [f"covar_pop({f}, {g}) AS c{i}_{j}" for i, f in at for j, g in at if i <= j]
+    ctes = [f"{name}_m AS (SELECT {keys}, count(*) AS n, avg({label}) AS my{''.join(f', {x}' for x in sums)} FROM {source} GROUP BY {keys})"]
+    kept = f"{keys}, my{''.join(f', m{i}, s{i}' for i in range(k))}"
+    cells = [f"n * c{min(i, j)}_{max(i, j)} / (s{i} * s{j}){f' + {alpha}' if i == j else ''} AS a{i}_{j}" for i in range(k) for j in range(k)] + [f"n * b{i} / s{i} AS a{i}_{k}" for i in range(k)]
+    ctes.append(f"{name}_0 AS (SELECT {kept}{''.join(f', {x}' for x in cells)} FROM {name}_m)")
+    for p in range(k - 1):
+        cells = [f"a{i}_{j}" if i <= p else f"a{i}_{j} - a{i}_{p} / a{p}_{p} * a{p}_{j} AS a{i}_{j}" for i in range(k) for j in range(min(i, p + 1), k + 1) if i <= p or j > p]
+        ctes.append(f"{name}_{p + 1} AS (SELECT {kept}, {', '.join(cells)} FROM {name}_{p})")
+    last = f"{name}_{max(k - 1, 0)}"
+    for i in reversed(range(k)):  # back substitution, one unknown a step
+        known = "".join(f" - a{i}_{j} * z{j}" for j in range(i + 1, k))
+        ctes.append(f"{name}_z{i} AS (SELECT *, (a{i}_{k}{known}) / a{i}_{i} AS z{i} FROM {last})")
+        last = f"{name}_z{i}"
+    weights = "".join(f", z{i} / s{i} AS w_{f}" for i, f in at)
+    ctes.append(f"{name} AS (SELECT {keys}, my{''.join(f' - z{i} / s{i} * m{i}' for i in range(k))} AS o{weights} FROM {last})")
+    return ",\n".join(ctes)
+
+
+def line(table: str, features: list[str], rows: str = "") -> str:
+    """The prediction of a model from :func:`ridge`."""
+    at = f"{rows}." if rows else ""
+    return f"{table}.o" + "".join(f" + {table}.w_{f} * {at}{f}" for f in features)
