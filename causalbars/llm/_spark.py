@@ -22,9 +22,11 @@ _shipped: set[str] = set()
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only in a local session that leaves it unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = Path(tempfile.mkdtemp(prefix="causalbars-checkpoint-")).as_uri()
         spark.sparkContext.setCheckpointDir(folder)
     return folder

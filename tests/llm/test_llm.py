@@ -432,9 +432,21 @@ def test_line_dedup(spark):
     texts = [(1, f"{base}\nshort line\nan entirely different sentence about gardening and birds"), (2, f"{near}\nshort line"), (3, f"  {base.upper()} !!\nnew words that no other document holds at all"), (4, "words in another order: year coming the for budget the discuss to tuesday on met committee the"), (5, base)]
     frame = spark.createDataFrame([(i, t, "en", "s", len(t), "", "") for i, t in texts], DOCS)
     removed = {r["doc_id"]: r["removed"] for r in lines.report(frame).collect()}
-    assert removed == {1: "", 2: "0", 3: "0", 4: "", 5: "0"}
+    assert removed == {1: "", 2: "0,1", 3: "0", 4: "", 5: "0"}
     kept = {r["doc_id"]: r for r in lines.drop_repeats(frame).collect()}
-    assert set(kept) == {1, 2, 3, 4} and kept[2]["text"] == "short line" and kept[2]["n_chars"] == 10 and kept[1]["text"] == texts[0][1]
+    assert set(kept) == {1, 3, 4} and kept[3]["text"] == texts[2][1].split("\n")[1] and kept[3]["n_chars"] == len(kept[3]["text"]) and kept[1]["text"] == texts[0][1]
+
+
+def test_lines_belong_to_rows(spark):
+    """Rows that share an id keep what stands nowhere else; copies of a row, null ids, short and blank lines."""
+    shared = "a line of quite enough words that stands in two documents of this table"
+    unique = "words that no other document of all of them has ever held before"
+    rows = [(0, shared), (1, shared), (1, unique), (2, "gamma rays and other things of enough words\nshort one"), (2, f"{shared}\nother"), (3, "Short  one!"), (4, "again words\n\nagain words"), (5, "copy of a row\n"), (5, "copy of a row\n"), (None, shared), (None, shared), (6, ""), (6, ""), (7, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = collections.Counter((r["doc_id"], r["text"]) for r in lines.drop_repeats(frame).collect())
+    assert got == collections.Counter([(0, shared), (1, unique), rows[3], (2, "other"), (4, "again words\n"), rows[7], rows[9], rows[9], (6, ""), (6, ""), (7, None)])
+    found = collections.Counter((r["doc_id"], r["n_lines"], r["removed"], r["n_removed"]) for r in lines.report(frame).collect())
+    assert found == collections.Counter([(0, 1, "", 0), (1, 1, "0", 1), (1, 1, "", 0), (2, 2, "", 0), (2, 2, "0", 1), (3, 1, "0", 1), (4, 3, "2", 1), (5, 2, "", 0), (5, 2, "0", 1), (None, 1, "", 0), (None, 1, "", 0), (6, 1, "", 0), (6, 1, "", 0), (7, 0, "", 0)])
 
 
 def edits_of(a, b):
@@ -505,7 +517,7 @@ def test_exact_line_repeats_against_plain(docs, texts):
     for i in sorted(texts):
         for n, line in enumerate(texts[i].split("\n")):
             norm = " ".join(re.findall(r"[^\W_]+", line.lower()))
-            if norm.count(" ") >= 4:
+            if norm:
                 if norm in seen:
                     expected[i].add(n)
                 seen.setdefault(norm, (i, n))
@@ -519,9 +531,10 @@ def test_line_dedup_against_all_pairs(docs, texts):
     for i in sorted(texts):
         for n, line in enumerate(texts[i].split("\n")):
             norm = " ".join(re.findall(r"[^\W_]+", line.lower()))
-            if norm.count(" ") >= 4:
+            if norm:
                 where[norm].append((i, n))
-    norms = sorted(where, key=lambda x: x.count(" "))
+    short = [x for x in where if x.count(" ") < 4]  # exact repeats only
+    norms = sorted((x for x in where if x.count(" ") >= 4), key=lambda x: x.count(" "))
     words, bags = [x.split() for x in norms], [collections.Counter(x.split()) for x in norms]
     group = list(range(len(norms)))
     for i in range(len(norms)):
@@ -534,7 +547,7 @@ def test_line_dedup_against_all_pairs(docs, texts):
     members = collections.defaultdict(list)
     for k, norm in enumerate(norms):
         members[group[k]] += where[norm]
-    expected = {place for places in members.values() for place in sorted(places)[1:]}
+    expected = {place for places in [*members.values(), *(where[x] for x in short)] for place in sorted(places)[1:]}
     got = {(r["doc_id"], int(x)) for r in lines.report(docs).collect() for x in r["removed"].split(",") if x}
     assert got == expected
 
