@@ -192,6 +192,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
     room = F.ceil(F.col("n") * F.col("d") * 8 / SHARD_BYTES)
     sizes = nodes.groupBy("d").agg(F.count("*").alias("n")).select("d", F.greatest(room, F.least(F.lit(LEAST_SHARDS), F.ceil(F.col("n") / LEAST_ROWS))).alias("shards"))
     dealt = nodes.select("d", "node", "weight", "v").join(sizes, "d").withColumn("shard", F.pmod(F.xxhash64("node"), "shards"))
+    dealt = dealt.repartition(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), "d", "shard")  # by number: shards are heavy, whatever their bytes
     built = materialize(dealt.groupBy("d", "shard").applyInArrow(_built, _STORED), "graphs", "zstd")
 
     def meet(table: pa.Table) -> pa.Table:
