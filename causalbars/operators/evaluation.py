@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import wilson_lower
+from ..functions.tables import written
+from . import quantiles
 
 
 def correlation(a: str, b: str) -> Column:
@@ -18,24 +20,27 @@ def correlation(a: str, b: str) -> Column:
 def with_ranks(rows: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Adds rank_<column>: ranks within ``by`` with ties at their average."""
     for c in columns:
-        rank = F.rank().over(Window.partitionBy(*by).orderBy(c))
-        ties = F.count("*").over(Window.partitionBy(*by, c))
-        rows = rows.withColumn(f"rank_{c}", rank + (ties - 1) / 2.0)
+        rows = quantiles.ranks(rows, by, c, f"rank_{c}")
     return rows
 
 
 def forecast_metrics(rows: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Metrics of (actual, pred, close) by group: one aggregate after the ranks."""
+    """Metrics of (actual, pred, close) by group. Sums are one aggregate; ranks and the median are taken without a
+    group's rows ever meeting in one task. Keys must not be null. The predictions are written once, as each of these
+    reads them."""
+    rows = written(rows.select(*by, "actual", "pred", "close"), "predictions")
     error = F.col("pred") - F.col("actual")
     price, truth = F.col("close") * F.exp("pred"), F.col("close") * F.exp("actual")
     moved = F.when(F.col("actual") != 0, (F.signum("pred") == F.signum("actual")).cast("double"))
     ranked = with_ranks(rows, by, ("actual", "pred"))
-    return ranked.groupBy(*by).agg(
-        F.count("*").alias("n"), F.avg(F.abs(error)).alias("mae"), F.sqrt(F.avg(error * error)).alias("rmse"), F.median(F.abs(error)).alias("median_ae"),
+    sums = ranked.groupBy(*by).agg(
+        F.count("*").alias("n"), F.avg(F.abs(error)).alias("mae"), F.sqrt(F.avg(error * error)).alias("rmse"),
         (1 - F.try_divide(F.sum(error * error), F.var_pop("actual") * F.count("*"))).alias("r2"), F.avg(moved).alias("direction_accuracy"), correlation("actual", "pred").alias("pearson_ic"),
         correlation("rank_actual", "rank_pred").alias("spearman_ic"), F.avg(error).alias("bias"), F.stddev_pop("pred").alias("pred_std"),
         F.avg(F.abs(price - truth)).alias("price_mae"), F.sqrt(F.avg((price - truth) * (price - truth))).alias("price_rmse"), F.avg(F.abs(F.try_divide(price - truth, truth))).alias("price_mape"),
     )
+    median = quantiles.quantile_columns(rows.withColumn("_e", F.abs(error)), by, "_e", {"median_ae": 0.5})
+    return sums.join(median, list(by), "left")
 
 
 def direction_metrics(rows: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -66,8 +71,9 @@ def candidate_summary(folds: DataFrame) -> DataFrame:
 def selective(rows: DataFrame, by: Sequence[str], coverages: Sequence[float]) -> DataFrame:
     """For each coverage: the threshold on abs(pred) that keeps that share, rows kept, hits, Wilson lower bound."""
     size = F.abs("pred")
-    cuts = rows.groupBy(*by).agg(F.percentile(size, F.array(*[F.lit(1 - x) for x in coverages])).alias("_cuts"))
-    cuts = cuts.select(*by, F.explode(F.arrays_zip(F.array(*map(F.lit, coverages)).alias("coverage"), F.col("_cuts").alias("threshold"))).alias("z")).select(*by, "z.*")
+    cuts = quantiles.quantiles(rows.withColumn("_size", size), by, "_size", [1 - x for x in coverages])
+    coverage = F.create_map(*[F.lit(v) for x in coverages for v in (float(1 - x), float(x))])
+    cuts = cuts.select(*by, coverage[F.col("probability")].alias("coverage"), F.col("quantile").alias("threshold"))
     joined = rows.join(cuts, list(by))  # one row for each wanted coverage
     kept = (size >= F.col("threshold")) & (F.col("actual") != 0)
     hit = kept & (F.signum("pred") == F.signum("actual"))
@@ -77,7 +83,10 @@ def selective(rows: DataFrame, by: Sequence[str], coverages: Sequence[float]) ->
 
 def regimes(frame: DataFrame, train: Column, volatility: str, trend: str, share: float = 0.67) -> DataFrame:
     """HIGH_VOL, TREND_UP, TREND_DOWN or RANGE by quantiles of the train rows of each series only."""
-    cuts = frame.where(train).groupBy("series").agg(F.percentile(volatility, F.lit(share)).alias("_vol"), F.percentile(F.abs(trend), F.lit(share)).alias("_trend"))
+    own = frame.where(train).withColumn("_size", F.abs(trend))
+    cuts = own.select("series").distinct()
+    for value, name in ((volatility, "_vol"), ("_size", "_trend")):
+        cuts = cuts.join(quantiles.quantile_columns(own, ["series"], value, {name: share}), "series", "left")
     joined = frame.join(cuts, "series")
     label = F.when(F.col(volatility) >= F.col("_vol"), "HIGH_VOL").when((F.abs(trend) >= F.col("_trend")) & (F.col(trend) > 0), "TREND_UP").when((F.abs(trend) >= F.col("_trend")) & (F.col(trend) < 0), "TREND_DOWN").otherwise("RANGE")
     return joined.withColumn("regime", F.when(F.col(volatility).isNotNull() & F.col(trend).isNotNull(), label)).drop("_vol", "_trend")

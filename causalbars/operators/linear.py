@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import quantiles
+
 
 @dataclass(frozen=True)
 class LinearModel:
@@ -38,8 +40,13 @@ class LinearModel:
 
 
 def impute_stats(rows: DataFrame, features: Sequence[str]) -> DataFrame:
-    """One row: the exact median (0 if all are missing) and the missing count of each feature."""
-    return rows.agg(*[F.coalesce(F.median(f), F.lit(0.0)).alias(f"median_{f}") for f in features], *[F.sum(F.col(f).isNull().cast("int")).alias(f"missing_{f}") for f in features])
+    """One row: the exact median (0 if all are missing) and the missing count of each feature. Medians are selected by
+    :func:`quantiles.column_quantiles`, so no task holds a column."""
+    listed = F.array(*[F.struct(F.lit(f).alias("column"), F.sum(F.col(f).isNull().cast("int")).alias("missing")) for f in features])
+    missing = rows.agg(listed.alias("x")).select(F.explode("x").alias("x")).select("x.*", F.lit(None).cast("double").alias("quantile"))
+    both = missing.unionByName(quantiles.column_quantiles(rows, features, 0.5), allowMissingColumns=True)
+    pick = lambda f, c: F.max(F.when(F.col("column") == f, F.col(c)))
+    return both.agg(*[F.coalesce(pick(f, "quantile"), F.lit(0.0)).alias(f"median_{f}") for f in features], *[pick(f, "missing").alias(f"missing_{f}") for f in features])
 
 
 def gram(rows: DataFrame, features: Sequence[str], label: str, by: Sequence[str]) -> DataFrame:

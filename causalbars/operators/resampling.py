@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import normal_cdf, normal_quantile
-from .splits import CHUNK
+from .splits import CHUNK, dealt, ordinals
 
 #: Multipliers and modulus of the start hash (fixed values).
 HASH = (1103515245, 40503, 12345, 2147483647)
@@ -97,12 +97,12 @@ def overfitting(rows: DataFrame, blocks: int = 8) -> DataFrame:
 
     One aggregate gives count, sum and sum of squares of each block; all splits into halves use only these.
     """
-    w = Window.partitionBy("series", "model").orderBy("t")
-    stats = rows.withColumn("block", F.ntile(blocks).over(w) - 1).groupBy("series", "model", "block").agg(F.count("*").alias("n"), F.sum("ret").alias("s"), F.sum(F.col("ret") * F.col("ret")).alias("q"))
+    numbered = dealt(ordinals(rows, ("series", "model")), blocks, "block")
+    stats = numbered.groupBy("series", "model", "block").agg(F.count("*").alias("n"), F.sum("ret").alias("s"), F.sum(F.col("ret") * F.col("ret")).alias("q"))
     halves = list(combinations(range(blocks), blocks // 2))
     splits = F.explode(F.array(*[F.struct(F.lit(i).alias("split_id"), F.array(*map(F.lit, h)).alias("inside")) for i, h in enumerate(halves)]))
-    dealt = stats.withColumn("x", splits).select("series", "model", "x.split_id", F.array_contains("x.inside", F.col("block")).alias("is_in"), "n", "s", "q")
-    sums = dealt.groupBy("series", "model", "split_id", "is_in").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
+    halved = stats.withColumn("x", splits).select("series", "model", "x.split_id", F.array_contains("x.inside", F.col("block")).alias("is_in"), "n", "s", "q")
+    sums = halved.groupBy("series", "model", "split_id", "is_in").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
     variance = (F.col("q") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1)
     sharpe = sums.withColumn("sharpe", F.coalesce(F.try_divide(F.col("s") / F.col("n"), F.sqrt(F.greatest(variance, F.lit(0.0)))), F.lit(0.0)))
     both = sharpe.groupBy("series", "split_id", "model").agg(F.max(F.when(F.col("is_in"), F.round("sharpe", 10))).alias("inside"), F.max(F.when(~F.col("is_in"), F.round("sharpe", 10))).alias("outside"))

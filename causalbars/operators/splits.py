@@ -12,18 +12,26 @@ from ..functions.timeops import HOUR
 CHUNK = 720 * HOUR
 
 
-def ordinals(frame: DataFrame) -> DataFrame:
+def ordinals(frame: DataFrame, by: tuple[str, ...] = ("series",)) -> DataFrame:
     """Adds ``n`` (rank from 1 by time in its series) and ``rows`` (of the series).
 
     Rows are numbered inside chunks of 30 days and moved on by the counts of earlier chunks, so one long series is
     many tasks.
     """
     keyed = frame.withColumn("_chunk", F.floor(F.col("t") / CHUNK))
-    counts = keyed.groupBy("series", "_chunk").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy("series").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.select("series", "_chunk", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy("series")).alias("rows"))
-    inside = F.row_number().over(Window.partitionBy("series", "_chunk").orderBy("t"))
-    return keyed.withColumn("_inside", inside).join(counts, ["series", "_chunk"]).withColumn("n", F.col("_before") + F.col("_inside")).drop("_chunk", "_inside", "_before")
+    counts = keyed.groupBy(*by, "_chunk").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(*by, "_chunk", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(*by)).alias("rows"))
+    inside = F.row_number().over(Window.partitionBy(*by, "_chunk").orderBy("t"))
+    return keyed.withColumn("_inside", inside).join(counts, [*by, "_chunk"]).withColumn("n", F.col("_before") + F.col("_inside")).drop("_chunk", "_inside", "_before")
+
+
+def dealt(numbered: DataFrame, parts: int, name: str) -> DataFrame:
+    """Adds ``name``: the part (from 0) of each row of :func:`ordinals`, dealt by time as evenly as ntile does."""
+    extra, size = F.col("rows") % parts, F.floor(F.col("rows") / parts)
+    wide = extra * (size + 1)
+    part = F.when(F.col("n") <= wide, F.floor((F.col("n") - 1) / (size + 1))).otherwise(extra + F.floor((F.col("n") - 1 - wide) / F.greatest(size, F.lit(1))))
+    return numbered.withColumn(name, part.cast("int"))
 
 
 def boundaries(numbered: DataFrame, named: dict[str, Column]) -> DataFrame:
@@ -99,14 +107,11 @@ def combinatorial(frame: DataFrame, groups: int = 6, held: int = 2, embargo: int
     rows a series, so the range conditions are column expressions over one array.
     """
     numbered = ordinals(frame)
-    extra, size = F.col("rows") % groups, F.floor(F.col("rows") / groups)
-    wide = extra * (size + 1)
-    group = F.when(F.col("n") <= wide, F.floor((F.col("n") - 1) / (size + 1))).otherwise(extra + F.floor((F.col("n") - 1 - wide) / size)).cast("int")
-    dealt = numbered.withColumn("group", group)
-    ends = dealt.groupBy("series", "group").agg(F.min("t").alias("lo"), F.max(F.coalesce("target_t", F.col("t") + HOUR)).alias("hi"), F.max("n").alias("last"))
+    grouped = dealt(numbered, groups, "group")
+    ends = grouped.groupBy("series", "group").agg(F.min("t").alias("lo"), F.max(F.coalesce("target_t", F.col("t") + HOUR)).alias("hi"), F.max("n").alias("last"))
     ends = ends.groupBy("series").agg(F.map_from_entries(F.collect_list(F.struct("group", F.struct("lo", "hi", "last")))).alias("_g"))
     combos = F.array(*[F.struct(F.lit(i).alias("split_id"), F.array(*map(F.lit, c)).alias("tests")) for i, c in enumerate(combinations(range(groups), held))])
-    split = dealt.join(ends, "series").withColumn("c", F.explode(combos)).select("*", "c.split_id", "c.tests").drop("c")
+    split = grouped.join(ends, "series").withColumn("c", F.explode(combos)).select("*", "c.split_id", "c.tests").drop("c")
     own_end = F.coalesce("target_t", F.col("t") + HOUR)
     overlaps = F.exists("tests", lambda g: (F.col("t") <= F.col("_g")[g]["hi"]) & (own_end >= F.col("_g")[g]["lo"]))
     after = F.exists("tests", lambda g: (F.col("n") > F.col("_g")[g]["last"]) & (F.col("n") <= F.col("_g")[g]["last"] + embargo))

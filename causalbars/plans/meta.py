@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import wilson_lower
-from ..operators import linear
+from ..operators import linear, quantiles
 
 
 def _expanding(cells: DataFrame, features: Sequence[str], alpha: float, keys: Sequence[str], least: int) -> DataFrame:
@@ -40,8 +40,9 @@ def selective(predictions: DataFrame, coverages: Sequence[float] = (0.25, 0.5, 0
     folds = predictions.select("series", "model", "fold").distinct().withColumnRenamed("fold", "for_fold")
     earlier = predictions.join(folds, ["series", "model"]).where("fold < for_fold")  # a row a later fold, few folds
     keys = ["series", "model", "for_fold"]
-    cuts = earlier.groupBy(*keys).agg(F.percentile(size, F.array(*[F.lit(1 - c) for c in coverages])).alias("_c"))
-    cuts = cuts.select(*keys, F.explode(F.arrays_zip(F.array(*map(F.lit, coverages)).alias("coverage"), F.col("_c").alias("threshold"))).alias("z")).select(*keys, "z.*")
+    cuts = quantiles.quantiles(earlier.withColumn("_size", size), keys, "_size", [1 - c for c in coverages])
+    coverage = F.create_map(*[F.lit(v) for c in coverages for v in (float(1 - c), float(c))])
+    cuts = cuts.select(*keys, coverage[F.col("probability")].alias("coverage"), F.col("quantile").alias("threshold"))
     kept = (size >= F.col("threshold")) & (F.col("actual") != 0)
     hit = kept & (F.signum("pred") == F.signum("actual"))
     scored = earlier.join(cuts, keys).groupBy(*keys, "coverage", "threshold").agg(F.sum(kept.cast("int")).alias("n"), F.sum(hit.cast("int")).alias("hits"))
