@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import coverage_label
@@ -37,18 +37,26 @@ def forward_bars(samples: DataFrame, horizons: dict[str, int] = HORIZONS, cadenc
     return done.select("series", "horizon", "bucket", (F.col("bucket") + F.col("seconds")).alias("bucket_end"), "snapshot_count", "expected", "coverage", F.col("_f.mid").alias("open"), "high", "low", F.col("_l.mid").alias("close"), F.col("_f.bid").alias("open_bid"), F.col("_f.ask").alias("open_ask"), F.col("_l.bid").alias("close_bid"), F.col("_l.ask").alias("close_ask"), F.col("_l.spread").alias("close_spread"), "mean_spread", "max_spread", "first_t", "last_t", "mode_counts", coverage_label(F.col("coverage"), trusted).alias("quality"))
 
 
-def assessments(samples: DataFrame, as_of: int, delay: int = 120, horizons: dict[str, int] = HORIZONS, least: int = 2, most: int = 512, cadence: int = 60) -> DataFrame:
+def assessments(samples: DataFrame, as_of: int, delay: int = 120, horizons: dict[str, int] = HORIZONS, least: int = 2, most: int = 512, cadence: int = 60, assessed: DataFrame | None = None) -> DataFrame:
     """A bar or an explicit gap for each bucket from a series' first sample to the last bucket that is closed.
 
     A bucket is closed once ``as_of - delay`` has passed its end. Empty buckets and those under ``least`` samples
-    are gaps. At most ``most`` buckets a series and horizon are assessed in one catch-up, oldest first.
+    are gaps. At most ``most`` buckets a series and horizon are assessed in one catch-up, oldest first. With
+    ``assessed`` (what earlier catch-ups returned) each series and horizon goes on at its last assessed end: nothing is
+    assessed twice, and samples that came late for an assessed bucket change nothing.
     """
-    bars = forward_bars(samples.where(F.col("t") < as_of), horizons, cadence)
     firsts = samples.groupBy("series").agg(F.min("t").alias("_first"))
     table = F.explode(F.array(*[F.struct(F.lit(k).alias("horizon"), F.lit(s).alias("seconds")) for k, s in horizons.items()]))
     plan = firsts.withColumn("h", table).select("series", "_first", "h.*")
-    closed = F.floor((F.lit(as_of) - delay) / F.col("seconds")) * F.col("seconds")
     start = F.floor(F.col("_first") / F.col("seconds")) * F.col("seconds")
+    if assessed is not None:
+        ends = assessed.groupBy("series", "horizon").agg(F.max("bucket_end").alias("_end"))
+        plan = plan.join(ends, ["series", "horizon"], "left")
+        start = F.coalesce(F.col("_end"), start)
+        from_t = plan.groupBy("series").agg(F.min(start).alias("_from"))  # what no horizon needs is not binned again
+        samples = samples.join(from_t, "series").where("t >= _from").drop("_from")
+    bars = forward_bars(samples.where(F.col("t") < as_of), horizons, cadence)
+    closed = F.floor((F.lit(as_of) - delay) / F.col("seconds")) * F.col("seconds")
     last = F.least(closed - F.col("seconds"), start + F.col("seconds") * (most - 1))
     spine = plan.where(last >= start).select("series", "horizon", "seconds", F.explode(F.sequence(start.cast("long"), last.cast("long"), F.col("seconds").cast("long"))).alias("bucket"))
     joined = spine.join(bars, ["series", "horizon", "bucket"], "left")
@@ -56,6 +64,11 @@ def assessments(samples: DataFrame, as_of: int, delay: int = 120, horizons: dict
     return joined.withColumns({"status": F.when(count >= least, "BAR_MATERIALIZED").otherwise("GAP_RECORDED"), "snapshot_count": count, "bucket_end": F.col("bucket") + F.col("seconds")}).drop("seconds")
 
 
+def gap_reason(status: Column, count: Column) -> Column:
+    """Why a bucket is a gap; NULL for bars."""
+    return F.when(status == "GAP_RECORDED", F.when(count == 0, "NO_OBSERVED_SNAPSHOTS").otherwise("INSUFFICIENT_OBSERVED_SNAPSHOTS"))
+
+
 def admission(bars: DataFrame, least_coverage: float = 0.9, mode: str = TRUSTED) -> DataFrame:
     """Whether a bar may be forecast from, with the first reason against it by priority."""
     modes = F.map_keys("mode_counts")

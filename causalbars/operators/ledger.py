@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .splits import CHUNK, ordinals
+
 GENESIS = "0" * 64
 
 
@@ -38,8 +40,13 @@ def revisions(ledger: DataFrame, source: DataFrame, keys: Sequence[str], numbers
 
 
 def row_text(columns: Sequence[str]) -> Column:
-    """The canonical text of a row: column=value in column order, values as strings."""
-    return F.concat_ws("|", *[F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in sorted(columns)])
+    """The canonical text of a row: column=value in column order, separators escaped; a column without ``=`` is NULL,
+    and floating-point values are the shortest texts that read back as the same number (17 digits at most)."""
+    parts = []
+    for c in sorted(columns):
+        escaped = F.regexp_replace(F.col(c).cast("string"), r"([\\|=])", r"\\$1")
+        parts.append(F.when(F.col(c).isNull(), F.lit(c)).otherwise(F.concat(F.lit(f"{c}="), escaped)))
+    return F.concat_ws("|", *parts)
 
 
 def chain(rows: DataFrame, columns: Sequence[str], key: str = "segment", heads: DataFrame | None = None) -> DataFrame:
@@ -78,6 +85,90 @@ def verify(ledger: DataFrame, columns: Sequence[str], key: str = "segment") -> D
     return ledger.withColumn("fault", fault).where("fault IS NOT NULL")
 
 
+class BackdatedRows(ValueError):
+    """Rows to append are not later than what a segment holds."""
+
+
+_HEADS = "block long, rows long, first_t long, last_t long, digest string, head string"
+
+
+def _digests(rows: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
+    """(key, block, rows, first_t, last_t, digest) of rows with a block number; a block is hashed in one group."""
+    texts = rows.select(key, "block", "t", row_text(columns).alias("_text"))
+
+    def fold(table):
+        import hashlib
+
+        import pyarrow as pa
+
+        table = table.sort_by([("t", "ascending"), ("_text", "ascending")])
+        link = GENESIS
+        for text in table.column("_text").to_pylist():
+            link = hashlib.sha256(f"{link}|{text}".encode()).hexdigest()
+        t = table.column("t")
+        return pa.table([table.column(key).slice(0, 1), table.column("block").slice(0, 1), pa.array([table.num_rows], pa.int64()), t.slice(0, 1), t.slice(table.num_rows - 1), pa.array([link])], names=[key, "block", "rows", "first_t", "last_t", "digest"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    return texts.groupBy(key, "block").applyInArrow(fold, f"`{key}` {kind}, block long, rows long, first_t long, last_t long, digest string")
+
+
+def _with_heads(digests: DataFrame, key: str, heads: DataFrame | None) -> DataFrame:
+    """Chains the blocks of each segment: head = sha256(previous head, digest); one row a block."""
+    last = heads.groupBy(key).agg(F.max_by("head", "block").alias("_head")) if heads is not None else None
+    joined = digests.join(last, key, "left") if heads is not None else digests.withColumn("_head", F.lit(None).cast("string"))
+    names = [key, "block", "rows", "first_t", "last_t", "digest", "head"]
+
+    def fold(table):
+        import hashlib
+
+        import pyarrow as pa
+
+        table = table.sort_by("block")
+        link, made = table.column("_head")[0].as_py() or GENESIS, []
+        for digest in table.column("digest").to_pylist():
+            link = hashlib.sha256(f"{link}|{digest}".encode()).hexdigest()
+            made.append(link)
+        return pa.table([*(table.column(c) for c in names[:-1]), pa.array(made, pa.string())], names=names)
+
+    return joined.groupBy(key).applyInArrow(fold, f"`{key}` {digests.schema[key].dataType.simpleString()}, {_HEADS}")
+
+
+def append_blocks(rows: DataFrame, columns: Sequence[str], key: str = "segment", heads: DataFrame | None = None, block_rows: int = 4096, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
+    """The rows with their block numbers, and the heads of the new blocks: a two-level chain.
+
+    Rows of a segment are cut by time into blocks of ``block_rows``, which are hashed in parallel; only the blocks'
+    digests are chained, so a hot segment is many tasks. ``heads`` are those stored so far: appending reads them
+    and no stored row, starts a new block, and raises BackdatedRows where a row is not later than its segment's
+    last. Times of a segment must be distinct. ``chunk`` is a span of ``t`` whose rows one task numbers.
+    """
+    numbered = ordinals(rows, (key,), chunk)
+    block = F.floor((F.col("n") - 1) / block_rows).cast("long")
+    if heads is None:
+        dealt = numbered.withColumn("block", block)
+    else:
+        stored = heads.groupBy(key).agg(F.max("block").alias("_last"), F.max("last_t").alias("_last_t"))
+        joined = numbered.join(stored, key, "left")
+        if not joined.where("t <= _last_t").isEmpty():
+            raise BackdatedRows("rows to append are not later than what is stored")
+        dealt = joined.withColumn("block", block + F.coalesce(F.col("_last") + 1, F.lit(0)))
+    dealt = dealt.select(*rows.columns, "block")
+    return dealt, _with_heads(_digests(dealt, columns, key), key, heads)
+
+
+def verify_blocks(rows: DataFrame, heads: DataFrame, columns: Sequence[str], key: str = "segment") -> DataFrame:
+    """(key, block, fault) of a two-level ledger: rows that are missing, foreign or changed, heads that do not follow from
+    the digests, blocks that are not later than the one before."""
+    found = _digests(rows, columns, key).select(key, "block", F.col("rows").alias("_rows"), F.col("digest").alias("_digest"))
+    w = Window.partitionBy(key).orderBy("block")
+    before = heads.withColumns({"_before": F.coalesce(F.lag("head").over(w), F.lit(GENESIS)), "_earlier": F.lag("last_t").over(w), "_number": F.row_number().over(w) - 1})
+    joined = before.join(found, [key, "block"], "full")
+    fault = (
+        F.when(F.col("digest").isNull(), "UNKNOWN_BLOCK").when(F.col("_digest").isNull(), "MISSING_BLOCK").when(F.col("_rows") != F.col("rows"), "ROW_COUNT").when(F.col("_digest") != F.col("digest"), "CHANGED_BLOCK")
+        .when(F.sha2(F.concat("_before", F.lit("|"), "digest"), 256) != F.col("head"), "BROKEN_HEAD").when((F.col("_number") != F.col("block")) | (F.col("_earlier") >= F.col("first_t")), "TIME_NOT_INCREASING")
+    )
+    return joined.select(key, "block", fault.alias("fault")).where("fault IS NOT NULL")
+
+
 def outcomes(predictions: DataFrame, observations: DataFrame) -> DataFrame:
     """Predictions (series, t, pred) with the observed return over the exactly next hour; others stay out."""
     now = observations.select("series", "t", F.col("close").alias("close"))

@@ -12,13 +12,13 @@ from ..functions.timeops import HOUR
 CHUNK = 720 * HOUR
 
 
-def ordinals(frame: DataFrame, by: tuple[str, ...] = ("series",)) -> DataFrame:
+def ordinals(frame: DataFrame, by: tuple[str, ...] = ("series",), chunk: int = CHUNK) -> DataFrame:
     """Adds ``n`` (rank from 1 by time in its series) and ``rows`` (of the series).
 
-    Rows are numbered inside chunks of 30 days and moved on by the counts of earlier chunks, so one long series is
+    Rows are numbered inside chunks of 30 days (or ``chunk`` units of ``t``) and moved on by the counts of earlier chunks, so one long series is
     many tasks.
     """
-    keyed = frame.withColumn("_chunk", F.floor(F.col("t") / CHUNK))
+    keyed = frame.withColumn("_chunk", F.floor(F.col("t") / chunk))
     counts = keyed.groupBy(*by, "_chunk").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1))
     counts = counts.select(*by, "_chunk", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(*by)).alias("rows"))

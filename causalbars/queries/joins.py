@@ -114,6 +114,21 @@ def ledger_chain_whole(spark, d):
     return _heads(_segments(spark, d, 3600))
 
 
+def _block_ledger(spark, d):
+    rows = _segments(spark, d).select(F.split("segment", r"\|")[0].alias("segment"), "t", "cents")
+    return ledger.append_blocks(rows, ["t", "cents"], block_rows=64, chunk=30 * 86_400_000_000)
+
+
+def ledger_blocks(spark, d):
+    """All events by series in blocks of 64 rows: hashed in parallel, chained by digest."""
+    return _block_ledger(spark, d)[1]
+
+
+def ledger_block_faults(spark, d):
+    rows, heads = _block_ledger(spark, d)
+    return ledger.verify_blocks(rows.withColumn("cents", F.when(F.col("t") % 1009 == 0, F.col("cents") + 1).otherwise(F.col("cents"))), heads, ["t", "cents"])
+
+
 def _faults(rows):
     chained = ledger.chain(rows, ["t", "cents"])
     return ledger.verify(chained.withColumn("cents", F.when(F.col("t") % 1009 == 0, F.col("cents") + 1).otherwise(F.col("cents"))), ["t", "cents"]).select("segment", "t", "fault")
@@ -134,11 +149,6 @@ def holdout_outcomes(spark, d):
     return rounded(ledger.outcomes(predictions, bars_of(spark, d)))
 
 
-def holdout_outcomes_whole(spark, d):
-    """The same as holdout_outcomes, which once read a third of the predictions."""
-    return holdout_outcomes(spark, d)
-
-
 def thirty_day_blocks(spark, d):
     rows = targets.next_bar(bars_of(spark, d)).where("target_log_return IS NOT NULL")
     return rounded(ledger.period_means(rows, "target_log_return", 1704067200, days=5))
@@ -231,7 +241,8 @@ incoming AS (SELECT series, t, CASE WHEN t % 14400 = 0 THEN close * 1.01::DOUBLE
 _CHAIN = BARS + """, seg AS (SELECT series || '|' || (t // 86400) AS segment, t * 1000000 + k AS t, round(price * 100)::BIGINT AS cents FROM ticks),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY t) AS n FROM seg)"""
 
-QUERIES = {f.__name__: f for f in (publication_calendar, exact_align_join, asof_published_state, asof_by_key, release_changes, zscore_release, positioning_features, idempotent_merge_classify, left_anti_append, overlap_revisions, ledger_chain, ledger_chain_whole, ledger_verify, ledger_verify_whole, holdout_outcomes, holdout_outcomes_whole, thirty_day_blocks, decision_status, latest_n, overlap_is_empty, missing_report, freshness_status, model_comparison)}
+_BLOCKS = BARS + """, placed AS (SELECT segment, t, cents, n // 64 AS block, n % 64 AS i FROM (SELECT series AS segment, t * 1000000 + k AS t, round(price * 100)::BIGINT AS cents, row_number() OVER (PARTITION BY series ORDER BY t * 1000000 + k) - 1 AS n FROM ticks))"""
+QUERIES = {f.__name__: f for f in (publication_calendar, exact_align_join, asof_published_state, asof_by_key, release_changes, zscore_release, positioning_features, idempotent_merge_classify, left_anti_append, overlap_revisions, ledger_chain, ledger_chain_whole, ledger_verify, ledger_verify_whole, ledger_blocks, ledger_block_faults, holdout_outcomes, thirty_day_blocks, decision_status, latest_n, overlap_is_empty, missing_report, freshness_status, model_comparison)}
 ORACLES = {
     "publication_calendar": f"""WITH {_CALENDAR}, d AS (SELECT DISTINCT {_DAY} AS day FROM orders), x AS (SELECT day, is_business, nxt, {_TUE} AS tue FROM d JOIN cal USING (day))
       SELECT date_diff('day', DATE '1970-01-01', day) AS day, is_business, {_new_york("nxt", 58500)} AS daily_t, {_new_york("day", 58500)} AS close_t,
@@ -253,6 +264,12 @@ ORACLES = {
       SELECT series, t, 'close' AS "column" FROM j WHERE NOT abs(sc - ic) <= 1e-10 + 1e-12 * abs(ic) UNION ALL SELECT series, t, 'high' FROM j WHERE NOT abs(sh - ih) <= 1e-10 + 1e-12 * abs(ih)""",
     "ledger_chain": f"""WITH RECURSIVE {_CHAIN}, chain AS (SELECT segment, n, sha256('{ledger.GENESIS}|cents=' || cents || '|t=' || t) AS h FROM numbered WHERE n = 1
       UNION ALL SELECT x.segment, x.n, sha256(c.h || '|cents=' || x.cents || '|t=' || x.t) FROM chain c JOIN numbered x ON x.segment = c.segment AND x.n = c.n + 1) SELECT segment, max(n) AS n, arg_max(h, n) AS head FROM chain GROUP BY segment""",
+    "ledger_blocks": f"""WITH RECURSIVE {_BLOCKS}, chain AS (SELECT segment, block, i, sha256('{ledger.GENESIS}|cents=' || cents || '|t=' || t) AS h FROM placed WHERE i = 0
+      UNION ALL SELECT x.segment, x.block, x.i, sha256(c.h || '|cents=' || x.cents || '|t=' || x.t) FROM chain c JOIN placed x ON x.segment = c.segment AND x.block = c.block AND x.i = c.i + 1),
+      digests AS (SELECT segment, block, max(i) + 1 AS rows, arg_max(h, i) AS digest FROM chain GROUP BY segment, block), spans AS (SELECT segment, block, min(t) AS first_t, max(t) AS last_t FROM placed GROUP BY segment, block),
+      heads AS (SELECT segment, block, sha256('{ledger.GENESIS}|' || digest) AS head FROM digests WHERE block = 0 UNION ALL SELECT x.segment, x.block, sha256(h.head || '|' || x.digest) FROM heads h JOIN digests x ON x.segment = h.segment AND x.block = h.block + 1)
+      SELECT segment, block, rows, first_t, last_t, digest, head FROM digests JOIN spans USING (segment, block) JOIN heads USING (segment, block)""",
+    "ledger_block_faults": f"WITH {_BLOCKS} SELECT DISTINCT segment, block, 'CHANGED_BLOCK' AS fault FROM placed WHERE t % 1009 = 0",
     "ledger_verify": f"WITH {_CHAIN} SELECT segment, t, 'CHANGED_ROW' AS fault FROM seg WHERE t % 1009 = 0",
     "holdout_outcomes": f"""WITH {BARS}, p AS (SELECT series, t, ln(close) - ln(max(close) OVER (PARTITION BY series ORDER BY t RANGE BETWEEN 3600 PRECEDING AND 3600 PRECEDING)) AS pred FROM bars)
       SELECT p.series, p.t, {rs({"pred": "pred", "close": "a.close", "next_close": "b.close", "actual": "ln(b.close / a.close)"})} FROM p JOIN bars a USING (series, t) JOIN bars b ON b.series = p.series AND b.t = p.t + 3600 WHERE pred IS NOT NULL""",
@@ -275,7 +292,7 @@ def _hourly_segments(sql: str) -> str:
     return sql.replace("(t // 86400) AS segment", "(t // 3600) AS segment")
 
 
-ORACLES |= {"ledger_chain_whole": _hourly_segments(ORACLES["ledger_chain"]), "ledger_verify_whole": _hourly_segments(ORACLES["ledger_verify"]), "holdout_outcomes_whole": ORACLES["holdout_outcomes"]}
+ORACLES |= {"ledger_chain_whole": _hourly_segments(ORACLES["ledger_chain"]), "ledger_verify_whole": _hourly_segments(ORACLES["ledger_verify"])}
 
 
 def _fill() -> None:

@@ -57,6 +57,16 @@ def forward_gaps(spark, d):
     return rounded(_assessed(spark, d).select("series", "horizon", "bucket", "bucket_end", "status", "snapshot_count", "close"))
 
 
+def forward_resume(spark, d):
+    """Three catch-ups, each from the last assessed end of the one before: as one assessment of all."""
+    horizons, done = {"4h": 14_400, "12h": 43_200, "1d": 86_400}, None
+    for as_of in (1704800000, 1705200001, 1706300000):
+        own = forward.assessments(samples(spark, d), as_of=as_of, cadence=7200, horizons=horizons, assessed=done)
+        done = own if done is None else done.unionByName(own)
+    reason = forward.gap_reason(F.col("status"), F.col("snapshot_count")).alias("reason")
+    return rounded(done.select("series", "horizon", "bucket", "bucket_end", "status", reason, "snapshot_count", "close"))
+
+
 def admission(spark, d):
     return forward.admission(forward.forward_bars(samples(spark, d), cadence=7200)).select("series", "horizon", "bucket", "admitted", "reason")
 
@@ -113,11 +123,6 @@ def spread_scenarios(spark, d):
     return rounded(spread.spread_scenarios(rows, assumed))
 
 
-def spread_scenarios_whole(spark, d):
-    """The same as spread_scenarios, which once read a sixth of the forecasts."""
-    return spread_scenarios(spark, d)
-
-
 _BOOKS = BARS + """, lv AS (SELECT series AS security, t // 10800 * 10800 AS t, price + 100 AS price, (user_id % 50 + 1)::DOUBLE AS quantity, row_number() OVER (PARTITION BY series, t // 10800 ORDER BY price + 100, user_id % 50 + 1, k) AS i, count(*) OVER (PARTITION BY series, t // 10800) AS n FROM ticks),
 sided AS (SELECT security, t, price, quantity, CASE WHEN i <= n // 2 THEN 'bid' ELSE 'ask' END AS side, CASE WHEN i <= n // 2 THEN n // 2 - i + 1 ELSE i - n // 2 END AS level_index FROM lv WHERE n >= 2),
 tops AS (SELECT security, t, max(price) FILTER (side = 'bid') AS bp, min(price) FILTER (side = 'ask') AS ap FROM sided GROUP BY ALL),
@@ -156,7 +161,7 @@ _SCORING = "base AS (@BASE@), y AS (SELECT series, t, close, CASE WHEN lead(t) O
 _TERMS = [f"coalesce({f}, {m})" for f, m in zip(MODEL.features, MODEL.medians)] + [f"({MODEL.features[i]} IS NULL)::INT" for i in MODEL.indicators]
 _SCORE = f"{MODEL.intercept} + " + " + ".join(f"({x} - {m}) / {s} * {c}" for x, m, s, c in zip(_TERMS, MODEL.means, MODEL.scales, MODEL.coefficients))
 
-QUERIES = {f.__name__: f for f in (book_depth_features, snapshot_deltas, book_levels, forward_bars, forward_gaps, admission, latest_bar_forecast, horizon_roll_up, frozen_linear_score, forecast_records, ridge_gram, ridge_scores, imputer_statistics, spread_scenarios, spread_scenarios_whole)}
+QUERIES = {f.__name__: f for f in (book_depth_features, snapshot_deltas, book_levels, forward_bars, forward_gaps, forward_resume, admission, latest_bar_forecast, horizon_roll_up, frozen_linear_score, forecast_records, ridge_gram, ridge_scores, imputer_statistics, spread_scenarios)}
 ORACLES = {
     "book_depth_features": f"WITH {_DEPTH} SELECT security, t, {rs(_FEATURES)} FROM f",
     "snapshot_deltas": f"""WITH {_DEPTH}, p AS (SELECT *, {", ".join(f"{shift(x, 1, 't', 'security')} AS p_{x}" for x in ("t", "mid", "spread_bps", "depth_imbalance_5", "bias"))} FROM f)
@@ -165,6 +170,8 @@ ORACLES = {
     "forward_bars": f"""WITH {_SAMPLES}, {_forward(forward.HORIZONS)} SELECT series, horizon, bucket, bucket_end, snapshot_count, expected, {rs({x: x for x in _DOUBLES})}, first_t, last_t,
       CASE WHEN coverage >= 0.9 THEN 'FULL_COVERAGE' WHEN coverage >= 0.5 THEN 'PARTIAL_COVERAGE' ELSE 'SPARSE_COVERAGE' END || CASE WHEN pub = 0 THEN '_AUTHENTICATED' ELSE '_MIXED' END AS quality,
       concat_ws(',', CASE WHEN auth > 0 THEN 'AUTHENTICATED_READ_ONLY=' || auth END, CASE WHEN pub > 0 THEN 'PUBLIC=' || pub END) AS modes FROM fb""",
+    "forward_resume": f"""WITH {_ASSESSED} SELECT series, horizon, bucket, bucket_end, status, CASE WHEN status = 'GAP_RECORDED' THEN CASE WHEN snapshot_count = 0 THEN 'NO_OBSERVED_SNAPSHOTS' ELSE 'INSUFFICIENT_OBSERVED_SNAPSHOTS' END END AS reason,
+      snapshot_count, {r('close', 'close')} FROM assessed""",
     "forward_gaps": f"WITH {_ASSESSED} SELECT series, horizon, bucket, bucket_end, status, snapshot_count, {r('close', 'close')} FROM assessed",
     "admission": f"""WITH {_SAMPLES}, {_forward(forward.HORIZONS)}, a AS (SELECT *, CASE WHEN snapshot_count < 2 THEN 'INSUFFICIENT_SAMPLES' WHEN snapshot_count > expected THEN 'MORE_SAMPLES_THAN_EXPECTED' WHEN pub > 0 THEN 'UNTRUSTED_MODE' WHEN coverage < 0.9 THEN 'LOW_COVERAGE' ELSE 'ADMITTED' END AS reason FROM fb)
       SELECT series, horizon, bucket, reason = 'ADMITTED' AS admitted, reason FROM a""",
@@ -183,7 +190,6 @@ ORACLES = {
 }
 
 
-ORACLES["spread_scenarios_whole"] = ORACLES["spread_scenarios"]
 
 
 def _fill() -> None:
