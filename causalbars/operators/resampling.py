@@ -6,13 +6,14 @@ look-ups and never (resamples x rows). Starts come from integer arithmetic, whic
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import normal_cdf, normal_quantile
+from ..functions.scalars import normal_cdf, normal_cdf_of, normal_quantile, normal_quantile_of
 from .splits import CHUNK, dealt, ordinals
 
 #: Multipliers and modulus of the start hash (fixed values).
@@ -71,6 +72,29 @@ def conditional_interval(rows: DataFrame, key: str, hit: str, chosen: str, resam
     return draws.groupBy(key).agg(F.count("*").alias("resamples"), F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
 
 
+def stratified_draws(rows: DataFrame, by: Sequence[str], stratum: str, columns: Sequence[str], resamples: int, block: int) -> DataFrame:
+    """(by, resample, rows, columns): sums over resamples that keep each stratum's number of rows.
+
+    Blocks are drawn circularly inside a stratum, so none crosses into another; all columns share the draws, and strata
+    are added up by resample. Nulls in columns count as zero.
+    """
+    key = F.to_json(F.struct(*by, F.col(stratum).alias("_stratum"))).alias("key")
+    keyed = rows.select(key, *by, "t", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
+    sums = resample_sums(keyed.select("key", "t", *columns), "key", columns, resamples, block, circular=True)
+    names = keyed.select("key", *by).distinct()
+    return sums.join(names, "key").groupBy(*by, "resample").agg(F.sum("rows").alias("rows"), *[F.sum(c).alias(c) for c in columns])
+
+
+def stratified_intervals(rows: DataFrame, by: Sequence[str], stratum: str, columns: Sequence[str], statistics: dict[str, Column], resamples: int = 5000, block: int = 24, threshold: float = 0.0) -> DataFrame:
+    """(by, statistic, observed, low, high, p_above): each statistic is an expression of the summed columns and ``rows``; all
+    are taken from the same draws. Draws in which a statistic is NULL are left out of its interval."""
+    values = F.explode(F.array(*[F.struct(F.lit(n).alias("statistic"), x.cast("double").alias("v")) for n, x in statistics.items()]))
+    whole = rows.groupBy(*by).agg(F.count("*").alias("rows"), *[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in columns]).select(*by, values.alias("x")).select(*by, "x.statistic", F.col("x.v").alias("observed"))
+    draws = stratified_draws(rows, by, stratum, columns, resamples, block).select(*by, values.alias("x")).select(*by, "x.*")
+    ends = draws.groupBy(*by, "statistic").agg(F.percentile("v", F.lit(0.025)).alias("low"), F.percentile("v", F.lit(0.975)).alias("high"), F.avg((F.col("v") > threshold).cast("double")).alias("p_above"))  # ``resamples`` values a group
+    return whole.join(ends, [*by, "statistic"])
+
+
 def holm(tests: DataFrame, by: Sequence[str], p: str = "p") -> DataFrame:
     """Holm's step-down adjustment within ``by``: running maximum of (m - rank) * p, at most 1."""
     order = Window.partitionBy(*by).orderBy(p, "model")
@@ -119,6 +143,47 @@ def sharpe_moments(rows: DataFrame) -> DataFrame:
     return rows.groupBy("series", "model").agg(F.count("*").alias("n"), F.try_divide(F.avg("ret"), F.stddev_samp("ret")).alias("sharpe"), F.skewness("ret").alias("skew"), (F.kurtosis("ret") + 3).alias("kurtosis"))
 
 
+def expected_best(std: Column, trials: Column) -> Column:
+    """The expected greatest Sharpe ratio of ``trials`` strategies without skill whose ratios spread by ``std``."""
+    n = trials.cast("double")
+    euler = 0.5772156649015329
+    z = (1 - euler) * normal_quantile_of(1 - 1 / n) + euler * normal_quantile_of(1 - 1 / (n * math.e))
+    return F.when((n > 1) & (std > 0), std * z).otherwise(0.0)
+
+
+def deflated_sharpes(rows: DataFrame, trials: DataFrame) -> DataFrame:
+    """One row a strategy (series, model, t, ret): its Sharpe ratio against the best that ``trials`` (series,
+    counted_trials; one row a recorded stage, added up) would show without skill, and the probability of that ratio.
+
+    Fewer counted trials than strategies of a series raise; so does a strategy whose moments give no positive variance.
+    Constant strategies must be left out before.
+    """
+    moments = sharpe_moments(rows)
+    spread = moments.groupBy("series").agg(F.count("*").alias("strategies"), F.avg("sharpe").alias("trial_mean"), F.coalesce(F.stddev_samp("sharpe"), F.lit(0.0)).alias("trial_std"))
+    counted = trials.groupBy("series").agg(F.sum("counted_trials").alias("counted_trials"))
+    enough = F.when(F.coalesce(F.col("counted_trials") >= F.col("strategies"), F.lit(False)), F.col("counted_trials")).otherwise(F.raise_error(F.lit("fewer counted trials than strategies")).cast("long"))
+    per = spread.join(counted, "series", "left").withColumn("counted_trials", enough)
+    per = per.withColumn("benchmark", expected_best(F.col("trial_std"), F.col("counted_trials")))  # once a series
+    joined = moments.join(per, "series")
+    s = F.col("sharpe")
+    inner = 1 - F.col("skew") * s + (F.col("kurtosis") - 1) / 4 * s * s
+    root = F.sqrt(F.when(inner > 0, inner).otherwise(F.raise_error(F.lit("moments give no positive variance")).cast("double")))
+    z = (s - F.col("benchmark")) * F.sqrt(F.col("n") - 1) / root
+    return joined.withColumn("z", z).withColumn("probability", normal_cdf_of(F.col("z")))
+
+
+def robustness_gates(deflated: DataFrame, pbo: DataFrame, tests: DataFrame, wins: DataFrame, least_wins: float = 2 / 3, most_pbo: float = 0.2, least_probability: float = 0.95, most_p: float = 0.05) -> DataFrame:
+    """Four gates of each strategy and whether all hold: better in enough splits (wins: series, model, better_fraction),
+    low overfitting of its series, deflated Sharpe probability, and Holm-adjusted positive mean."""
+    joined = deflated.select("series", "model", "probability").join(wins, ["series", "model"]).join(pbo.select("series", "pbo"), "series").join(tests.select("series", "model", "mean", "holm_p"), ["series", "model"])
+    gates = {
+        "gate_splits": F.round("better_fraction", 9) >= round(least_wins, 9), "gate_pbo": F.col("pbo") < most_pbo, "gate_dsr": F.col("probability") >= least_probability, "gate_holm": (F.col("holm_p") < most_p) & (F.round("mean", 12) > 0),
+    }
+    done = joined.withColumns(gates)
+    passed = F.col("gate_splits") & F.col("gate_pbo") & F.col("gate_dsr") & F.col("gate_holm")
+    return done.withColumn("evidence", F.when(passed, "ROBUST_AFTER_MULTIPLE_TESTING").otherwise("NOT_PROVEN_AFTER_MULTIPLE_TESTING"))
+
+
 def deflated_sharpe(moments: dict, trials: int, variance: float) -> float:
     """Probability that a Sharpe ratio beats the best of ``trials`` null ones; for one row on the driver."""
     euler = 0.5772156649015329

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
+from statistics import NormalDist
 
 from pyspark.sql import functions as F
 
@@ -131,6 +133,40 @@ def holm_adjusted(spark, d):
     return rounded(resampling.zero_mean_tests(strategies(spark, d), 200, 24))
 
 
+STAGES = {"initial": 10, "feature_sets": 5, "coverages": 5, "regimes": 12, "stack": 1}
+
+
+def _trials(spark, rows):
+    stages = F.explode(F.array(*[F.struct(F.lit(k).alias("stage"), F.lit(v).cast("long").alias("counted_trials")) for k, v in STAGES.items()]))
+    return rows.select("series").distinct().select("series", stages.alias("x")).select("series", "x.*")
+
+
+def stratified_bootstrap(spark, d):
+    """Gains over the zero forecast of two models and a conditional hit rate, folds as strata, one set of draws."""
+    error = lambda m: F.max(F.when(F.col("model") == m, F.abs(F.col("pred") - F.col("actual"))))
+    pred = F.max(F.when(F.col("model") == "previous", F.col("pred")))
+    wide = forecasts(spark, d).groupBy("series", "fold", "t", "actual").agg(error("zero").alias("z"), error("previous").alias("p"), error("drift").alias("q"), pred.alias("pred"))
+    chosen = F.abs("pred") > 0.5
+    rows = wide.select("series", "fold", "t", (F.col("z") - F.col("p")).alias("gain_previous"), (F.col("z") - F.col("q")).alias("gain_drift"), chosen.cast("double").alias("chosen"), (chosen & (F.signum("pred") == F.signum("actual"))).cast("double").alias("hit"))
+    mean = {c: F.col(c) / F.col("rows") for c in ("gain_previous", "gain_drift")}
+    return rounded(resampling.stratified_intervals(rows, ["series"], "fold", ["gain_previous", "gain_drift", "chosen", "hit"], mean | {"hit_rate": F.when(F.col("chosen") > 0, F.col("hit") / F.col("chosen"))}, 2000, 24))
+
+
+def deflated_sharpe(spark, d):
+    rows = strategies(spark, d)
+    done = resampling.deflated_sharpes(rows, _trials(spark, rows))
+    return rounded(done.select("series", "model", "n", "strategies", "counted_trials", "sharpe", "trial_mean", "trial_std", "benchmark", "z", "probability"))
+
+
+def robustness_gates(spark, d):
+    rows = strategies(spark, d)
+    mae = fold_mae(spark, d)
+    zero = mae.where("model = 'zero'").select("series", "fold", F.col("mae").alias("zero_mae"))
+    wins = mae.join(zero, ["series", "fold"]).groupBy("series", "model").agg(F.avg((F.col("mae") < F.col("zero_mae")).cast("double")).alias("better_fraction"))
+    done = resampling.robustness_gates(resampling.deflated_sharpes(rows, _trials(spark, rows)), resampling.overfitting(rows), resampling.zero_mean_tests(rows, 200, 24), wins)
+    return rounded(done)
+
+
 PRED = BARS + f""", p0 AS (SELECT series, t, close, CASE WHEN lead(t) OVER w = t + 3600 THEN t + 3600 END AS target_t, CASE WHEN lead(t) OVER w = t + 3600 THEN ln(lead(close) OVER w) - ln(close) END AS actual,
   coalesce(ln(close) - ln({lag("close", 1)}), 0) AS m1, coalesce((ln(close) - ln({lag("close", 6)})) / 6, 0) AS m6 FROM bars WINDOW w AS (PARTITION BY series ORDER BY t)),
 lab AS (SELECT series, t, close, target_t, actual FROM p0 WHERE actual IS NOT NULL),
@@ -168,7 +204,7 @@ def _interval(key: str, column: str) -> str:
 
 _HALVES = "[" + ", ".join(str(list(h)) for h in combinations(range(8), 4)) + "]"
 _COMBOS = "[" + ", ".join(str(list(h)) for h in combinations(range(6), 2)) + "]"
-QUERIES = {f.__name__: f for f in (chronological_split, walk_forward_roles, calendar_folds, locked_tail_folds, combinatorial_roles, leakage_report, coverage_gate, forecast_metrics, direction_metrics, turnover, candidate_summary, selection_gate, threshold_coverage_wilson, regime_labels, strategy_returns, sharpe_moments, pbo_cscv, block_bootstrap, circular_bootstrap, conditional_bootstrap, holm_adjusted)}
+QUERIES = {f.__name__: f for f in (chronological_split, walk_forward_roles, calendar_folds, locked_tail_folds, combinatorial_roles, leakage_report, coverage_gate, forecast_metrics, direction_metrics, turnover, candidate_summary, selection_gate, threshold_coverage_wilson, regime_labels, strategy_returns, sharpe_moments, pbo_cscv, block_bootstrap, circular_bootstrap, conditional_bootstrap, holm_adjusted, stratified_bootstrap, deflated_sharpe, robustness_gates)}
 ORACLES = {
     "chronological_split": f"""WITH {PRED}, b AS (SELECT series, min(t) FILTER (n = floor(rows * 0.7) + 1) AS bv, min(t) FILTER (n = floor(rows * (0.7::DOUBLE + 0.15::DOUBLE)) + 1) AS bt FROM numbered GROUP BY series)
       SELECT series, t, CASE WHEN t >= bt THEN 'test' WHEN t >= bv THEN CASE WHEN greatest(t + 3600, target_t) < bt THEN 'validation' END WHEN greatest(t + 3600, target_t) < bv THEN 'train' END AS split FROM lab JOIN b USING (series)""",
@@ -220,3 +256,32 @@ ORACLES = {
       st AS (SELECT *, least(1, (count(*) OVER (PARTITION BY series) - row_number() OVER (PARTITION BY series ORDER BY p, model) + 1) * p) AS step FROM p)
       SELECT series, model, {rs({"mean": "mean", "p": "p", "holm_p": "max(step) OVER (PARTITION BY series ORDER BY p, model ROWS UNBOUNDED PRECEDING)"})} FROM st""",
 }
+
+
+def _phi(z: str) -> str:
+    """The normal distribution function by Simpson's rule over 2000 steps."""
+    x = f"least(abs({z}), 9) * i / 2000.0"
+    return f"(SELECT 0.5 + sign({z}) * least(abs({z}), 9) / 6000 / sqrt(2 * pi()) * sum(CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-(({x}) ** 2) / 2)) FROM range(0, 2001) x(i))"
+
+
+_TRIALS = sum(STAGES.values())
+_BEST = (1 - 0.5772156649015329) * NormalDist().inv_cdf(1 - 1 / _TRIALS) + 0.5772156649015329 * NormalDist().inv_cdf(1 - 1 / (_TRIALS * math.e))
+_DSR = f"""mm AS (SELECT *, avg(ret) OVER (PARTITION BY series, model) AS mu FROM strategies), mo AS (SELECT series, model, count(*) AS n, avg(ret) / stddev_samp(ret) AS sharpe, avg((ret - mu) ** 3) / avg((ret - mu) ** 2) ** 1.5 AS skew, avg((ret - mu) ** 4) / avg((ret - mu) ** 2) ** 2 AS kurtosis FROM mm GROUP BY series, model),
+sp AS (SELECT series, count(*) AS strategies, avg(sharpe) AS trial_mean, coalesce(stddev_samp(sharpe), 0) AS trial_std FROM mo GROUP BY series),
+zz AS (SELECT mo.*, strategies, trial_mean, trial_std, CASE WHEN trial_std > 0 THEN trial_std * {_BEST!r}::DOUBLE ELSE 0 END AS benchmark FROM mo JOIN sp USING (series)),
+zs AS (SELECT *, (sharpe - benchmark) * sqrt(n - 1) / sqrt(1 - skew * sharpe + (kurtosis - 1) / 4 * sharpe * sharpe) AS z FROM zz), dsr AS (SELECT *, {_phi("z")} AS probability FROM zs)"""
+_STRATA = f"""w0 AS (SELECT series, fold, t, actual, max(abs(pred - actual)) FILTER (model = 'zero') AS z, max(abs(pred - actual)) FILTER (model = 'previous') AS p, max(abs(pred - actual)) FILTER (model = 'drift') AS q, max(pred) FILTER (model = 'previous') AS pred FROM preds GROUP BY series, fold, t, actual),
+w AS (SELECT series, series || '|' || fold AS stratum, t, z - p AS gain_previous, z - q AS gain_drift, (abs(pred) > 0.5)::INT::DOUBLE AS chosen, (abs(pred) > 0.5 AND sign(pred) = sign(actual))::INT::DOUBLE AS hit FROM w0)"""
+_STATS = {"gain_previous": "sum(gain_previous) / sum(rows)", "gain_drift": "sum(gain_drift) / sum(rows)", "hit_rate": "CASE WHEN sum(chosen) > 0 THEN sum(hit) / sum(chosen) END"}
+ORACLES |= {
+    "stratified_bootstrap": f"""WITH {PRED}, {_STRATA}, {_boot("w", "stratum", ["gain_previous", "gain_drift", "chosen", "hit"], 2000, 24, True)},
+      total AS (SELECT split_part(key, '|', 1) AS series, resample, {", ".join(f"{x} AS {n}" for n, x in _STATS.items())} FROM draws GROUP BY 1, 2),
+      seen AS (SELECT series, {", ".join(f"{x.replace('sum(rows)', 'count(*)')} AS {n}" for n, x in _STATS.items())} FROM w GROUP BY series),
+      l AS ({" UNION ALL ".join(f"SELECT series, '{n}' AS statistic, {n} AS v FROM total" for n in _STATS)}), o AS ({" UNION ALL ".join(f"SELECT series, '{n}' AS statistic, {n} AS observed FROM seen" for n in _STATS)})
+      SELECT series, statistic, {rs({"observed": "any_value(observed)", "low": "quantile_cont(v, 0.025)", "high": "quantile_cont(v, 0.975)", "p_above": "avg((v > 0)::INT)"})} FROM l JOIN o USING (series, statistic) GROUP BY series, statistic""",
+    "deflated_sharpe": f"WITH {PRED}, {_DSR} SELECT series, model, n, strategies, {_TRIALS}::BIGINT AS counted_trials, {rs({x: x for x in ('sharpe', 'trial_mean', 'trial_std', 'benchmark', 'z', 'probability')})} FROM dsr",
+    "robustness_gates": f"""WITH {PRED}, {_DSR}, pb AS ({ORACLES["pbo_cscv"].removeprefix(f"WITH {PRED}, ").join(("WITH ", ""))}), hm AS ({ORACLES["holm_adjusted"].removeprefix(f"WITH {PRED}, ").join(("WITH ", ""))}),
+      fm AS (SELECT series, model, fold, round(avg(abs(pred - actual)), 9) AS mae FROM preds GROUP BY ALL), wn AS (SELECT a.series, a.model, avg((a.mae < b.mae)::INT) AS better_fraction FROM fm a JOIN fm b ON a.series = b.series AND a.fold = b.fold AND b.model = 'zero' GROUP BY ALL),
+      g AS (SELECT series, model, probability, better_fraction, pbo, mean, holm_p, round(better_fraction, 9) >= round(2 / 3, 9) AS gate_splits, pbo < 0.2 AS gate_pbo, probability >= 0.95 AS gate_dsr, holm_p < 0.05 AND mean > 0 AS gate_holm FROM dsr JOIN wn USING (series, model) JOIN pb USING (series) JOIN hm USING (series, model))
+      SELECT series, model, {rs({x: x for x in ("probability", "better_fraction", "pbo", "mean", "holm_p")})}, gate_splits, gate_pbo, gate_dsr, gate_holm, CASE WHEN gate_splits AND gate_pbo AND gate_dsr AND gate_holm THEN 'ROBUST_AFTER_MULTIPLE_TESTING' ELSE 'NOT_PROVEN_AFTER_MULTIPLE_TESTING' END AS evidence FROM g""",
+}
