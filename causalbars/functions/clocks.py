@@ -39,11 +39,17 @@ def local_time(day: Column, clock: str, zone: str = NEW_YORK) -> Column:
     return epoch_seconds(F.convert_timezone(F.lit(zone), F.lit("UTC"), wall))
 
 
-def calendar(spark: SparkSession, first: str, last: str, closures: tuple[str, ...] = ()) -> DataFrame:
-    """day, is_business and next_business (the first business day after it) of each day; a small dimension."""
+def calendar(spark: SparkSession, first: str, last: str, closures: tuple[str, ...] | DataFrame = ()) -> DataFrame:
+    """day, is_business and next_business (the first business day after it) of each day; a small dimension.
+
+    ``closures`` are exceptional days without business: texts, or a table with a column ``day``.
+    """
     days = spark.sql(f"SELECT explode(sequence(date'{first}', date'{last}' + INTERVAL 15 DAYS)) AS day")
-    shut = F.col("day").cast("string").isin(*closures) if closures else F.lit(False)
-    marked = days.withColumn("is_business", business_day(F.col("day")) & ~shut)
+    if isinstance(closures, DataFrame):
+        days = days.join(closures.select("day", F.lit(True).alias("_shut")).distinct(), "day", "left")
+    else:
+        days = days.withColumn("_shut", F.col("day").cast("string").isin(*closures) if closures else F.lit(False))
+    marked = days.withColumn("is_business", business_day(F.col("day")) & ~F.coalesce("_shut", F.lit(False))).drop("_shut")
     later = Window.partitionBy(F.lit(0)).orderBy("day").rowsBetween(1, 14)  # a few thousand days at most
     following = F.min(F.when(F.col("is_business"), F.col("day"))).over(later)
     return marked.withColumn("next_business", following).where(F.col("day") <= F.lit(last).cast("date"))
@@ -69,3 +75,17 @@ def weekly_release(report: Column) -> Column:
     nxt = F.date_add(report, 6)
     after = F.when(business_day(nxt), nxt).otherwise(F.date_add(nxt, 1))
     return local_time(F.when(late, after).otherwise(friday), "15:30:00")
+
+
+def overridden(states: DataFrame, rule: Column, overrides: DataFrame, clock: str, day: str = "day") -> DataFrame:
+    """``states`` with ``available``: the wall-clock time on the day that ``rule`` gives, or on the day that documented
+    ``overrides`` (day, release_day, effective_t) put in its place, and ``overridden``.
+
+    Of several overrides of a day the one that became effective last holds. An override without a release day
+    withdraws earlier ones. No override may be before the day it is about.
+    """
+    latest = overrides.groupBy(F.col(day).alias("_day")).agg(F.max_by(F.struct("release_day"), "effective_t").alias("_o"))
+    joined = states.join(latest, F.col(day) == F.col("_day"), "left")
+    moved = F.col("_o.release_day")
+    checked = F.when(moved < F.col(day), F.raise_error(F.lit("an override is before its day")).cast("date")).otherwise(F.coalesce(moved, rule))
+    return joined.withColumns({"available": local_time(checked, clock), "overridden": moved.isNotNull()}).drop("_day", "_o")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import clocks
@@ -35,6 +36,30 @@ def publication_calendar(spark, d):
     return known.select(F.datediff("day", F.lit("1970-01-01")).alias("day"), "is_business", clocks.daily_release(day, F.col("next_business")).alias("daily_t"), clocks.close_release(day).alias("close_t"), clocks.weekly_release(tuesday).alias("weekly_t"))
 
 
+def _releases(spark, d):
+    """Daily averages of orders whose release days follow the rule, closures and overrides made of the order days."""
+    daily = src.table(spark, d, "orders").groupBy(src.day_of("o_orderdate").alias("day")).agg(F.avg("o_totalprice").alias("value"))
+    ends = daily.agg(F.min("day").cast("string").alias("first"), F.max("day").cast("string").alias("last")).first()
+    of_month, midnight = F.dayofmonth("day"), F.unix_date("day") * 86_400
+    closures = daily.where(of_month == 9).select("day")
+    versions = F.array(F.struct(F.lit(4).alias("by"), F.lit(1).alias("after")), F.struct(F.when(of_month == 19, 6).when(of_month == 26, F.lit(None)).alias("by"), F.lit(2).alias("after")))
+    overrides = daily.where(of_month.isin(5, 19, 26)).withColumn("v", F.explode(versions)).where((of_month != 5) | (F.col("v.after") == 1))
+    overrides = overrides.select("day", F.date_add("day", F.col("v.by")).alias("release_day"), (midnight + F.col("v.after") * 86_400).alias("effective_t"))
+    known = daily.join(clocks.calendar(spark, ends["first"] or "1970-01-01", ends["last"] or "1970-01-01", closures).select("day", "next_business"), "day")
+    dated = clocks.overridden(known, F.col("next_business"), overrides, "16:15:00")
+    return dated.select("available", F.unix_date("day").cast("long").alias("observed"), "value", F.col("overridden").cast("int").alias("overridden"))
+
+
+def release_overrides(spark, d):
+    """What a decision may know when releases move: an older day that is released late does not hide a newer one."""
+    asked = targets.decision_clock(bars_of(spark, d)).select("series", "t", "decision_t")
+    newest = Window.orderBy("available").rowsBetween(Window.unboundedPreceding, 0)
+    bundles = bar_op.release_bundles(_releases(spark, d))  # one row a release: the newest day of those released together
+    running = bundles.groupBy(F.col("available")).agg(F.max("observed").alias("observed"), F.max_by("value", "observed").alias("value"), F.max_by("overridden", "observed").alias("overridden"))
+    best = F.max(F.struct("observed", "value", "overridden")).over(newest).alias("b")  # one row a release day
+    return rounded(states.asof_intervals(asked, running.select("available", best).select("available", "b.*"), "decision_t").select("series", "t", "decision_t", "available", "observed", "value", "overridden"))
+
+
 def exact_align_join(spark, d):
     side = one(spark, d, "view").select("series", "t", F.col("close").alias("view_close"), F.col("high").alias("view_high"))
     return rounded(features.align_exact(one(spark, d, "click").select("series", "t", "close"), side))
@@ -242,7 +267,7 @@ _CHAIN = BARS + """, seg AS (SELECT series || '|' || (t // 86400) AS segment, t
 numbered AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY t) AS n FROM seg)"""
 
 _BLOCKS = BARS + """, placed AS (SELECT segment, t, cents, n // 64 AS block, n % 64 AS i FROM (SELECT series AS segment, t * 1000000 + k AS t, round(price * 100)::BIGINT AS cents, row_number() OVER (PARTITION BY series ORDER BY t * 1000000 + k) - 1 AS n FROM ticks))"""
-QUERIES = {f.__name__: f for f in (publication_calendar, exact_align_join, asof_published_state, asof_by_key, release_changes, zscore_release, positioning_features, idempotent_merge_classify, left_anti_append, overlap_revisions, ledger_chain, ledger_chain_whole, ledger_verify, ledger_verify_whole, ledger_blocks, ledger_block_faults, holdout_outcomes, thirty_day_blocks, decision_status, latest_n, overlap_is_empty, missing_report, freshness_status, model_comparison)}
+QUERIES = {f.__name__: f for f in (publication_calendar, exact_align_join, asof_published_state, release_overrides, asof_by_key, release_changes, zscore_release, positioning_features, idempotent_merge_classify, left_anti_append, overlap_revisions, ledger_chain, ledger_chain_whole, ledger_verify, ledger_verify_whole, ledger_blocks, ledger_block_faults, holdout_outcomes, thirty_day_blocks, decision_status, latest_n, overlap_is_empty, missing_report, freshness_status, model_comparison)}
 ORACLES = {
     "publication_calendar": f"""WITH {_CALENDAR}, d AS (SELECT DISTINCT {_DAY} AS day FROM orders), x AS (SELECT day, is_business, nxt, {_TUE} AS tue FROM d JOIN cal USING (day))
       SELECT date_diff('day', DATE '1970-01-01', day) AS day, is_business, {_new_york("nxt", 58500)} AS daily_t, {_new_york("day", 58500)} AS close_t,
@@ -250,6 +275,12 @@ ORACLES = {
     "exact_align_join": f"WITH {BARS} SELECT a.series, a.t, {rs({'close': 'a.close', 'view_close': 'b.close', 'view_high': 'b.high'})} FROM bars a LEFT JOIN (SELECT * FROM bars WHERE series = 'view') b USING (t) WHERE a.series = 'click'",
     "asof_published_state": f"""WITH {BARS}, {_STATES} SELECT series, t, t + 3600 AS decision_t, available, observed, {r("value", "value")}, orders, bundle_size, (available IS NOT NULL)::INT AS state_has_published_state,
       {r("(t + 3600 - available) / 3600.0", "state_publication_age_hours")}, coalesce((t + 3600 - available) / 3600.0 BETWEEN 0 AND 1, false)::INT AS state_new_within_1h FROM bars ASOF LEFT JOIN states ON t + 3600 >= available""",
+    "release_overrides": f"""WITH {BARS}, {_CALENDAR.split("cal AS")[0]} shut AS (SELECT DISTINCT {_DAY} AS day FROM orders WHERE day({_DAY}) = 9), cal1 AS (SELECT cal0.day, is_business AND shut.day IS NULL AS is_business FROM cal0 LEFT JOIN shut USING (day)),
+      cal AS (SELECT day, min(CASE WHEN is_business THEN day END) OVER (ORDER BY day ROWS BETWEEN 1 FOLLOWING AND 14 FOLLOWING) AS nxt FROM cal1),
+      daily AS (SELECT {_DAY} AS day, avg(o_totalprice) AS value FROM orders GROUP BY 1), moved AS (SELECT *, CASE day(day) WHEN 5 THEN day + 4 WHEN 19 THEN day + 6 END AS other FROM daily JOIN cal USING (day)),
+      rel AS (SELECT CASE WHEN other IS NOT NULL THEN {_new_york("other", 58500)} ELSE {_new_york("nxt", 58500)} END AS available, date_diff('day', DATE '1970-01-01', day) AS observed, value, (other IS NOT NULL)::INT AS overridden FROM moved),
+      best AS (SELECT a.available, max(b.observed) AS observed, arg_max(b.value, b.observed) AS value, arg_max(b.overridden, b.observed) AS overridden FROM (SELECT DISTINCT available FROM rel) a JOIN rel b ON b.available <= a.available GROUP BY a.available)
+      SELECT series, t, t + 3600 AS decision_t, available, observed, {r("value", "value")}, overridden FROM bars ASOF LEFT JOIN best ON t + 3600 >= available""",
     "asof_by_key": f"""WITH {BARS}, s AS (SELECT series, (t // 86400 + 1) * 86400 + 7200 AS available, avg(CASE WHEN k % 3 > 0 THEN price END) AS mean_price FROM ticks GROUP BY series, t // 86400)
       SELECT ticks.series, t, k AS order_key, available, {rs({"mean_price": "mean_price", "age_hours": "(t - available) / 3600.0"})} FROM ticks ASOF LEFT JOIN s ON ticks.series = s.series AND t >= available""",
     "release_changes": f"""WITH s AS (SELECT o_orderpriority AS series, date_diff('day', DATE '1970-01-01', {_DAY}) AS observed, avg(o_totalprice) / 1e3 AS two, max(o_totalprice) / 1e3 AS ten FROM orders GROUP BY 1, 2),
