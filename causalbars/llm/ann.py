@@ -148,7 +148,13 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return flat.astype(np.float64).reshape(len(column), -1)
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows by powers of two, largest entries near one: exact, and squares neither over- nor underflow."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0.0))[1][:, None])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
     return x / np.sqrt(np.einsum("nd,nd->n", x, x))[:, None]
 
 
@@ -158,7 +164,7 @@ def best_of_cell(query_ids, queries, read, vec_ids, vectors, lists, k: int):
     an id is repeated. ``read`` holds an array of list numbers for each query, ``lists`` the list of each vector."""
     out_q, out_v, out_s = [], [], []
     order = np.argsort(lists, kind="stable")
-    vec_ids, vectors, lists = vec_ids[order], vectors[order], lists[order]
+    vec_ids, vectors, lists, queries = vec_ids[order], _scaled(vectors[order]), lists[order], _scaled(queries)
     unit, norms = _unit(vectors), np.sqrt(np.einsum("nd,nd->n", vectors, vectors))
     asked = _unit(queries)
     for i, own in enumerate(read):

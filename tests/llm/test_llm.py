@@ -332,6 +332,14 @@ def test_ann_odd_vectors(spark):
     assert ann.search(frame.where("vec_id > 59"), F.lit(True)).count() == 0
 
 
+def test_ann_extreme_vectors(spark):
+    """Finite vectors whose squares under- or overflow have their cosines."""
+    rows = [(i, [1.0, float(i)]) for i in range(1, 20)] + [(100, [1e-200, 0.0]), (50, [1e200, 1.0]), (60, [1.0, 0.0]), (61, [0.0, 5e-324])]
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id").isin(50, 100, 61)).collect()}
+    assert [got[50, k][0] for k in (1, 2)] == [60, 100] and [got[100, k][0] for k in (1, 2)] == [50, 60] and got[50, 1][1] == got[100, 2][1] == 1.0
+    assert got[61, 1][0] == 19 and abs(got[61, 1][1] - 19 / math.hypot(1, 19)) < 1e-12 and len(got) == 15
+
+
 def test_ann_repeated_ids():
     """The query's own row and its nearest vector stand there 50 times each; an id counts by its best score."""
     angles = np.array([0.0] * 50 + [0.01] * 50 + [0.02, 0.03, 0.04, 0.05, 0.9, 0.06])
