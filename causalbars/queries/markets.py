@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import book, features, forward, linear, spread, targets
 from ..sources import tables as src
-from ._sql import BARS, r, rounded, rs, shift
+from ._sql import BARS, line, r, ridge, rounded, rs, shift
 from .features import bars_of
 
 
@@ -161,6 +161,8 @@ _SCORING = "base AS (@BASE@), y AS (SELECT series, t, close, CASE WHEN lead(t) O
 _TERMS = [f"coalesce({f}, {m})" for f, m in zip(MODEL.features, MODEL.medians)] + [f"({MODEL.features[i]} IS NULL)::INT" for i in MODEL.indicators]
 _SCORE = f"{MODEL.intercept} + " + " + ".join(f"({x} - {m}) / {s} * {c}" for x, m, s, c in zip(_TERMS, MODEL.means, MODEL.scales, MODEL.coefficients))
 
+_FILLED = ", ".join(f"coalesce({f}, m_{f}) AS {f}, ({f} IS NULL)::INT AS gone_{f}" for f in MODEL.features)
+_COLUMNS = [*MODEL.features, *(f"gone_{f}" for f in MODEL.features)]
 QUERIES = {f.__name__: f for f in (book_depth_features, snapshot_deltas, book_levels, forward_bars, forward_gaps, forward_resume, admission, latest_bar_forecast, horizon_roll_up, frozen_linear_score, forecast_records, ridge_gram, ridge_scores, imputer_statistics, spread_scenarios)}
 ORACLES = {
     "book_depth_features": f"WITH {_DEPTH} SELECT security, t, {rs(_FEATURES)} FROM f",
@@ -183,6 +185,8 @@ ORACLES = {
       CASE WHEN round(p, 9) > 0 THEN 'UP' WHEN round(p, 9) < 0 THEN 'DOWN' ELSE 'FLAT' END AS challenger_direction, t + 3600 AS decision_t, t + 7200 AS target_close_t FROM n""",
     "ridge_gram": f"""WITH {_SCORING}, z AS (SELECT series, t // 864000 AS segment, actual, {", ".join(f"coalesce({f}, 0) AS {f}" for f in MODEL.features)} FROM sc WHERE actual IS NOT NULL) """
     + " UNION ALL ".join(f"SELECT series, segment, count(*) AS n, '{a}' AS i, '{b}' AS j, {r(f'sum({a} * {1 if b == "1" else b})', 'sum_xy')} FROM z GROUP BY series, segment" for a, b in [(x, "1") for x in (*MODEL.features, "actual")] + [(x, y) for n, x in enumerate((*MODEL.features, "actual")) for y in (*MODEL.features, "actual")[n:]]),
+    "ridge_scores": f"""WITH {_SCORING}, tr AS (SELECT 1 AS g, * FROM sc WHERE t < 1705500000 AND actual IS NOT NULL), med AS (SELECT {", ".join(f"coalesce(median({f}), 0) AS m_{f}" for f in MODEL.features)} FROM tr),
+      filled AS (SELECT g, actual, {_FILLED} FROM tr, med), te AS (SELECT series, t, {_FILLED} FROM sc, med WHERE t >= 1705500000), {ridge("rg", "filled", "g", _COLUMNS, "actual", 10.0)} SELECT series, t, {r(line("rg", _COLUMNS, "te"), "pred")} FROM te, rg""",
     "imputer_statistics": f"WITH {_SCORING} SELECT {rs({f'median_{f}': f'coalesce(median({f}), 0)' for f in MODEL.features})}, {', '.join(f'count(*) FILTER ({f} IS NULL) AS missing_{f}' for f in MODEL.features)} FROM sc",
     "spread_scenarios": f"""WITH {_SCORING}, a(name, spread, cost, wanted, step, top) AS (VALUES ('tight', 0.02::DOUBLE, 0.01::DOUBLE, 5.0::DOUBLE, 0.001::DOUBLE, 40.0::DOUBLE), ('wide', 0.5, 0.05, 5.0, 0.1, 10.0)), b AS (SELECT series, t, 'frozen' AS model, a.*, close AS mid, close * exp(greatest(least({_SCORE}, 1), -1)) AS later FROM sc, a),
       x AS (SELECT *, 'LONG' AS side, later - spread / 2 - (mid + spread / 2) - cost AS margin FROM b UNION ALL SELECT *, 'SHORT', mid - spread / 2 - (later + spread / 2) - cost FROM b), q AS (SELECT *, CASE WHEN round(margin, 6) > 0 THEN greatest(1, ceil(round(wanted / margin, 9) / step - 1e-12)) * step END AS quantity FROM x)
