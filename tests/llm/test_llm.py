@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import functools
 import hashlib
 import math
 import random
@@ -11,6 +12,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -578,6 +580,27 @@ def test_line_dedup_of_repetitive_lines(spark):
     assert got == expected and len(expected) >= 24
 
 
+def test_lines_that_share_a_passage(spark):
+    """Lines of 72 words of which 50 are common to all, and near copies of some: few pairs of strangers are compared, and
+    the result is that of all pairs."""
+    rng = random.Random(33)
+    passage = [f"p{i}" for i in range(50)]
+    texts = []
+    for i in range(60):
+        line = [*(f"o{rng.randrange(3000)}" for _ in range(22)), *passage]
+        texts += [" ".join(line)]
+        if i % 6 == 0:
+            at = rng.sample(range(72), 1 + i // 5)  # up to 12 of 14 edits
+            texts += [" ".join(f"n{i}" if k in at else x for k, x in enumerate(line))]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k1 long, norm string")
+    levels = lines.bucket_levels(table)
+    shared = functools.reduce(DataFrame.unionByName, [lines.shared_keys(table, levels, turn) for turn in range(lines.KEY_TURNS)])
+    pairs = {(r["a"], r["b"]) for r in lines.near_pairs(shared, spark.createDataFrame([], "node long, root long")).collect()}
+    assert len(pairs) <= 250  # of 2415
+    got, expected = removed_and_expected(spark, texts)
+    assert got == expected and len(expected) == 10
+
+
 def test_clashing_names_and_ids_with_two_texts(spark):
     line = "a line of quite enough words that stands in two documents of this table"
     rows = [(1, line, "a", "b", "c", "d"), (1, "another text of the same id with other words in it", "a", "b", "c", "d"), (2, line, "a", "b", "c", "d"), (3, line + "\nand one more line that only this document has", "x", "y", "z", "w"), (1, line, "a", "b", "c", "d")]
