@@ -128,48 +128,75 @@ def _bounds(docs: DataFrame, ranges: int) -> list[bytes]:
     return sorted({bytes(found[len(found) * i // ranges]) for i in range(1, ranges)}) if found else []
 
 
-def _sums(key: list[bytes], count: np.ndarray) -> tuple[list[bytes], np.ndarray]:
-    """Adjacent equal keys as one."""
-    if not key:
-        return [], count
-    starts = np.flatnonzero(np.fromiter((x != y for x, y in zip(key, [None, *key])), bool, len(key)))
-    return [key[i] for i in starts.tolist()], np.add.reduceat(count, starts)
+def _changes(values: pa.Array) -> np.ndarray:
+    """Whether each value differs from the one before it; true for the first."""
+    return np.concatenate([[True], pc.not_equal(values[1:], values[:-1]).to_numpy(zero_copy_only=False)]).astype(bool)
+
+
+def _split(keys: pa.Array) -> tuple[list[pa.Array], np.ndarray]:
+    """Language and up to three words of each key (what is lacking: empty), and how many of them there are."""
+    parts = pc.split_pattern(keys, pattern=b"\x00")
+    offsets = parts.offsets.to_numpy().astype(np.int64)
+    size = np.diff(offsets)
+    return [pc.fill_null(parts.values.take(pa.array(offsets[:-1] + i, mask=size <= i)), b"") for i in range(4)], size
 
 
 def counted(batches: Iterable[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """(lang, a, b, c, f) of the phrases of a sorted stream of windows that occur ``least`` times or more, and of each
-    language (no words). The first and the last phrase of each length come out whatever their count."""
+    language (no words). The first and the last phrase of each length come out whatever their count.
+
+    Whole columns are compared with themselves one row later; only phrases that come out are taken.
+    """
     names = ["lang", "a", "b", "c", "f"]
-    held: list[tuple[bytes, int] | None] = [None] * 4
+    held: list[tuple[list[bytes], int] | None] = [None] * 4
     fresh = [True] * 4
 
-    def rows(found: list[tuple[bytes, int]]) -> pa.RecordBatch:
-        parts = [[_plain(p).decode() for p in k.split(b"\x00")] for k, _ in found]
-        columns = [pa.array([p[i] if i < len(p) else None for p in parts], pa.string()) for i in range(4)]
-        return pa.RecordBatch.from_arrays([*columns, pa.array([n for _, n in found], pa.int64())], names=names)
+    def text(values: pa.Array) -> pa.Array:
+        if pc.any(pc.greater_equal(pc.find_substring(values, b"\x01"), 0)).as_py():
+            values = pa.array([_plain(x.as_py()) for x in values], pa.binary())
+        return values.cast(pa.string())
+
+    def rows(columns: list[pa.Array], f: np.ndarray) -> pa.RecordBatch:
+        columns = [text(x) for x in columns] + [pa.nulls(len(f), pa.string())] * (4 - len(columns))
+        return pa.RecordBatch.from_arrays([*columns, pa.array(f, pa.int64())], names=names)
+
+    def one(phrase: list[bytes], n: int) -> pa.RecordBatch:
+        return rows([pa.array([x], pa.binary()) for x in phrase], np.array([n]))
 
     for batch in batches:
-        key, count = _sums(batch.column(0).to_pylist(), batch.column(1).to_numpy())
-        split = [k.split(b"\x00") for k in key]
+        if not batch.num_rows:
+            continue
+        parts, size = _split(batch.column(0).cast(pa.binary()))
+        count = batch.column(1).to_numpy()
+        new, starts_at = np.zeros(batch.num_rows, bool), []
+        for part in parts:
+            new = new | _changes(part)
+            starts_at.append(np.flatnonzero(new))
         for depth in (3, 2, 1, 0):
-            own = [i for i, p in enumerate(split) if len(p) > depth] if depth > 1 else range(len(split))
-            if not own:
+            starts = starts_at[depth]
+            n, there = np.add.reduceat(count, starts), size[starts] > depth
+            starts, n = starts[there], n[there]
+            if not len(starts):
                 continue
-            k, n = _sums([b"\x00".join(split[i][: depth + 1]) for i in own], count[list(own)])
-            n = n.tolist()
-            if held[depth] and held[depth][0] == k[0]:
-                n[0] += held[depth][1]
-            elif held[depth]:
-                k, n = [held[depth][0], *k], [held[depth][1], *n]
-            held[depth] = (k.pop(), n.pop())
-            found = [(x, y) for x, y in zip(k, n) if y >= least]
-            if k and fresh[depth]:
-                found = found if n[0] >= least else [(k[0], n[0]), *found]
+            first, last = ([part[int(starts[at])].as_py() for part in parts[: depth + 1]] for at in (0, -1))
+            before, held[depth] = held[depth], None
+            if before and before[0] == first:
+                n[0] += before[1]
+                before = None
+            held[depth] = (last, int(n[-1]))
+            keep = n[:-1] >= least
+            if before:
+                if before[1] >= least or fresh[depth]:
+                    yield one(*before)
                 fresh[depth] = False
-            if found:
-                yield rows(found)
-    if last := [x for x in held if x]:
-        yield rows(last)
+            elif len(keep) and fresh[depth]:
+                keep[0], fresh[depth] = True, False
+            if keep.any():
+                at = pa.array(starts[:-1][keep])
+                yield rows([part.take(at) for part in parts[: depth + 1]], n[:-1][keep])
+    for phrase in held:
+        if phrase:
+            yield one(*phrase)
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -3,8 +3,10 @@
 import collections
 import random
 import re
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -258,3 +260,36 @@ def test_counts_do_not_depend_on_partitions(spark):
         found.append(found_rows(docs.repartition(n)))
     spark.conf.set("spark.sql.shuffle.partitions", before)
     assert found[0] == found[1]
+
+
+def test_phrase_counts_of_streams():
+    """Counts of cut streams add up to plain ones, with NUL and 0x01 in words; what is frequent comes out whole."""
+    rng = random.Random(5)
+    words = ["a", "b", "ab", "c\x00", "\x01", "é", "z\x01\x02"]
+    keys, expected = collections.Counter(), collections.Counter()
+    for _ in range(3000):
+        window = (rng.choice(["", "de", "en"]), *(rng.choices(words, range(7, 0, -1))[0] for _ in range(rng.choice((1, 2, 3, 3)))))
+        keys[b"\x00".join(phrases._escaped(x.encode()) for x in window)] += (n := rng.randrange(1, 3))
+        for depth in range(len(window)):
+            expected[window[: depth + 1]] += n
+    stream = sorted((k, n) for k, total in keys.items() for n in ([total] if total < 2 else [1, total - 1]))
+    for size in (1, 7, 100, 5000):
+        batches = [pa.RecordBatch.from_arrays([pa.array([k for k, _ in part], pa.binary()), pa.array([n for _, n in part], pa.int64())], names=["key", "n"]) for part in (stream[at : at + size] for at in range(0, len(stream), size))]
+        got, found = collections.Counter(), list(phrases.counted(iter(batches), 40))
+        for r in (r for batch in found for r in batch.to_pylist()):
+            got[tuple(r[c] for c in ("lang", "a", "b", "c") if r[c] is not None)] += r["f"]
+        assert {k: n for k, n in got.items() if n >= 40} == {k: n for k, n in expected.items() if n >= 40}
+        assert len([k for k in got if got[k] < 40]) <= 8 and all(got[k] == expected[k] for k in got)
+    assert list(phrases.counted(iter([]), 40)) == []
+
+
+def test_rare_windows_cost_little():
+    """Counting a stream of rare windows takes less CPU than splitting its keys in Python once."""
+    keys = sorted(b"en\x00w%d\x00w%d\x00w%d" % (i % 997, i % 10007, i) for i in range(300_000))
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[at : at + 10_000], pa.binary()), pa.array(np.ones(10_000, np.int64))], names=["key", "n"]) for at in range(0, len(keys), 10_000)]
+    start = time.process_time()
+    split = [k.split(b"\x00") for batch in batches for k in batch.column(0).to_pylist()]
+    plain = time.process_time() - start
+    start = time.process_time()
+    found = sum(batch.num_rows for batch in phrases.counted(iter(batches), 1000))
+    assert len(split) == 300_000 and found < 100 and time.process_time() - start < 1.5 * plain
