@@ -601,6 +601,32 @@ def test_lines_that_share_a_passage(spark):
     assert got == expected and len(expected) == 10
 
 
+def test_strangers_just_below_the_threshold(spark, monkeypatch):
+    """Lines of 100 words of which 78 are common to all: sketches let nearly all pairs pass, the words' hashes do not;
+    similar lines meet about once, and the result is that of all pairs."""
+    rng = random.Random(34)
+    passage = [f"p{i}" for i in range(78)]
+    texts = []
+    for i in range(50):
+        line = [*(f"o{rng.randrange(9000)}" for _ in range(11)), *passage, *(f"o{rng.randrange(9000)}" for _ in range(11))]
+        texts += [" ".join(line)]
+        if i % 5 == 0:
+            at = rng.sample(range(100), 2 + i // 5 * 2)  # up to 20 of 20 edits
+            texts += [" ".join(f"n{i}" if k in at else x for k, x in enumerate(line))]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k1 long, norm string")
+    levels, none = lines.bucket_levels(table), spark.createDataFrame([], "node long, root long")
+    shared = functools.reduce(DataFrame.unionByName, [lines.shared_keys(table, levels, turn) for turn in range(lines.KEY_TURNS)])
+    with monkeypatch.context() as patch:
+        patch.setattr(type(shared), "distinct", lambda self: self)
+        met = [tuple(r) for r in lines.near_pairs(shared, none).collect()]
+    assert len(met) <= 1.5 * len(set(met))
+    compared, keep_similar = [], lines.keep_similar
+    monkeypatch.setattr(lines, "keep_similar", lambda pairs: compared.append(pairs.count()) or keep_similar(pairs))
+    got, expected = removed_and_expected(spark, texts)
+    assert got == expected and len(expected) == 10
+    assert compared[-1] <= 50  # of 1770
+
+
 def test_clashing_names_and_ids_with_two_texts(spark):
     line = "a line of quite enough words that stands in two documents of this table"
     rows = [(1, line, "a", "b", "c", "d"), (1, "another text of the same id with other words in it", "a", "b", "c", "d"), (2, line, "a", "b", "c", "d"), (3, line + "\nand one more line that only this document has", "x", "y", "z", "w"), (1, line, "a", "b", "c", "d")]
