@@ -47,7 +47,7 @@ def ohlc_validate(spark, d):
 
 
 def delta_decode(spark, d):
-    return rounded(payloads.decode_deltas(payloads.encode_deltas(src.bars(spark, d))))
+    return rounded(payloads.decode_deltas(payloads.encode_deltas(src.bars(spark, d)), zero=True))
 
 
 def delta_payloads(spark, d):

@@ -32,20 +32,22 @@ def encode_deltas(bars: DataFrame) -> DataFrame:
     return days.select("series", "day", (F.get("p", 0)["t"] * 1000).alias("timestamp"), F.lit(HOUR * 1000).cast("long").alias("shift"), F.lit(MULTIPLIER).alias("multiplier"), *bases, times.alias("times"), *[deltas(f).alias(f"{f}s") for f in PRICES])
 
 
-def decode_deltas(payloads: DataFrame) -> DataFrame:
+def decode_deltas(payloads: DataFrame, zero: bool = False) -> DataFrame:
     """Bars of payloads: first prices in whole multiplier units, plus running sums of the deltas; real gaps stay gaps.
 
     A payload without times has no bars. Raised are: arrays of other lengths than ``times``, a shift that is not an
     hour, negative time deltas, a multiplier or first price that is not positive and finite, a bar that is not at a
-    whole hour, and prices that are not positive or not an OHLC bar. A repeated payload is decoded each time.
+    whole hour, and prices that are not positive or not an OHLC bar. A repeated payload is decoded each time. With
+    ``zero``, prices may be 0 as well, as values of events are.
     """
     plural = [f"{f}s" for f in PRICES]
-    positive = lambda c: c.isNotNull() & (c > 0) & (c < float("inf"))  # noqa: E731  NaN sorts above infinity
-    good = (F.col("shift") == HOUR * 1000) & ~F.exists("times", lambda x: x.isNull() | (x < 0))
+    priced = lambda c: (c >= 0) if zero else (c > 0)
+    finite = lambda c: c.isNotNull() & (c < float("inf"))  # noqa: E731  NaN sorts above infinity
+    good = (F.col("shift") == HOUR * 1000) & finite(F.col("multiplier")) & (F.col("multiplier") > 0) & ~F.exists("times", lambda x: x.isNull() | (x < 0))
     for f in plural:
         good = good & (F.size(f) == F.size("times")) & ~F.exists(f, lambda x: x.isNull())
-    for f in ("multiplier", *PRICES):
-        good = good & positive(F.col(f))
+    for f in PRICES:
+        good = good & finite(F.col(f)) & priced(F.col(f))
     filled = payloads.where(F.size("times") > 0).withColumn("_payload", F.monotonically_increasing_id())
     checked = filled.withColumn("times", F.when(F.coalesce(good, F.lit(False)), F.col("times")).otherwise(F.raise_error(F.lit("bad payload"))))
     units = [F.round(F.col(f) / F.col("multiplier")).cast("long").alias(f"_{f}") for f in PRICES]
@@ -53,7 +55,7 @@ def decode_deltas(payloads: DataFrame) -> DataFrame:
     w = Window.partitionBy("_payload").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     prices = [((F.col(f"_{f}") + F.sum(f"x.{f}s").over(w)) * F.col("multiplier")).alias(f) for f in PRICES]
     bars = keyed.select("series", (F.col("timestamp") + F.sum("x.times").over(w) * F.col("shift")).alias("_ms"), *prices)
-    valid = (F.col("_ms") % (HOUR * 1000) == 0) & (F.col("low") > 0) & (F.col("high") >= F.greatest("open", "close", "low")) & (F.col("low") <= F.least("open", "close"))
+    valid = (F.col("_ms") % (HOUR * 1000) == 0) & priced(F.col("low")) & (F.col("high") >= F.greatest("open", "close", "low")) & (F.col("low") <= F.least("open", "close"))
     t = F.when(valid, F.floor(F.col("_ms") / 1000)).otherwise(F.raise_error(F.lit("bad bar in a payload")))
     return bars.select("series", t.cast("long").alias("t"), *PRICES)
 

@@ -163,3 +163,15 @@ def test_delta_payloads_start_at_their_first_prices(spark):
 def test_bad_payloads_raise(spark, changed):
     with pytest.raises(Exception, match="bad (payload|bar)"):
         payloads.decode_deltas(payload(spark, **changed)).collect()
+
+
+def test_payloads_of_events_may_hold_prices_of_zero(spark):
+    later, first = payload(spark, lows=[0, -900, 100]), payload(spark, series="y", low=0.0)
+    bars = payloads.decode_deltas(later.unionByName(first), zero=True).orderBy("series", "t").collect()
+    assert [round(r["low"], 6) for r in bars] == [9.0, 0.0, 1.0, 0.0, 1.0, 2.0]
+    for some in (later, first):
+        with pytest.raises(Exception, match="bad (payload|bar)"):
+            payloads.decode_deltas(some).collect()
+    for changed in ({"low": -1.0}, {"lows": [0, -901, 0]}, {"multiplier": 0.0}, {"low": float("nan")}):
+        with pytest.raises(Exception, match="bad (payload|bar)"):
+            payloads.decode_deltas(payload(spark, **changed), zero=True).collect()
