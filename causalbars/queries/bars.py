@@ -57,7 +57,7 @@ def delta_payloads(spark, d):
     off = [(F.col(p) - 3 * F.col("multiplier")).alias(p) for p in payloads.PRICES]
     first = [F.transform(f"{p}s", lambda x, i: F.when(i == 0, x + 3).otherwise(x)).alias(f"{p}s") for p in payloads.PRICES]
     kept = sent.where(" AND ".join(f"{p} > 0.03" for p in payloads.PRICES))
-    return rounded(payloads.decode_deltas(kept.select("series", "timestamp", "shift", "multiplier", "times", *off, *first)))
+    return rounded(payloads.decode_deltas(kept.select("series", "timestamp", "shift", "multiplier", "times", *off, *first), zero=True))
 
 
 MINUTES = BARS + """,

@@ -20,6 +20,6 @@ def folder(tmp_path_factory):
     return made
 
 
-@pytest.mark.parametrize("name", ["delta_decode"])
+@pytest.mark.parametrize("name", ["delta_decode", "delta_payloads"])
 def test_agrees_with_duckdb(spark, folder, name):
     compare(spark, queries.QUERIES[name], queries.ORACLES[name], folder)
