@@ -36,6 +36,17 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a, b)
 
 
+def quotient(a: Column, b: Column) -> Column:
+    """a / b with infinities, or NaN for 0 / 0, where b is zero."""
+    at_zero = F.when((a == 0) | F.isnan(a), float("nan")).when(a > 0, float("inf")).when(a < 0, float("-inf"))
+    return F.when(b == 0, at_zero).otherwise(ratio(a, b))
+
+
+def ln(x: Column) -> Column:
+    """The natural logarithm, minus infinity at zero; NULL below."""
+    return F.when(x == 0, float("-inf")).otherwise(F.ln(x))
+
+
 def _ordered(by: Sequence[str]) -> Window:
     return Window.partitionBy(*by).orderBy("t")
 
