@@ -114,8 +114,8 @@ def solve_groups(cells: DataFrame, keys: Sequence[str], subsets: dict[str, Seque
 
 
 def dot(features: Sequence[str], weights: str) -> Column:
-    """The sum of features times the entries of an array column."""
-    products = F.zip_with(F.array(*[F.col(f).cast("double") for f in features]), weights, lambda x, w: x * w)
+    """The sum of features times the entries of an array column; a feature without a weight adds nothing, whatever its value."""
+    products = F.zip_with(F.array(*[F.col(f).cast("double") for f in features]), weights, lambda x, w: F.when(w.isNull(), 0.0).otherwise(x * w))
     return F.aggregate(products, F.lit(0.0), lambda a, x: a + x)
 
 

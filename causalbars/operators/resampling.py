@@ -28,35 +28,60 @@ def start_of(resample: Column, block: Column, starts: Column) -> Column:
     return F.pmod(x, starts)
 
 
+def _parts(c: str) -> tuple[str, str, str]:
+    return c, f"{c}_up", f"{c}_down"
+
+
+def _apart(columns: Sequence[str]) -> list[Column]:
+    """Each column in three: its finite values (0 for others), and 1 where it is NaN or positive, NaN or negative infinity.
+    Running sums of these can be taken off each other, which those of infinities cannot."""
+    made = []
+    for c in columns:
+        x, (name, up, down) = F.col(c).cast("double"), _parts(c)
+        rises, falls = F.isnan(x) | (x == float("inf")), F.isnan(x) | (x == float("-inf"))
+        made += [F.when(rises | falls, 0.0).otherwise(x).alias(name), F.when(rises, 1).otherwise(0).cast("long").alias(up), F.when(falls, 1).otherwise(0).cast("long").alias(down)]
+    return made
+
+
+def _together(finite: Column, up: Column, down: Column) -> Column:
+    """The sum whose three parts (see :func:`_apart`) these are."""
+    return F.when((up > 0) & (down > 0), float("nan")).when(up > 0, float("inf")).when(down > 0, float("-inf")).otherwise(finite)
+
+
 def prefix_sums(rows: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """(key, n, <column> summed over the first n rows by t), n from 0; chunk by chunk, then moved on."""
-    keyed = rows.withColumn("_chunk", F.floor(F.col("t") / CHUNK))
-    per = keyed.groupBy(key, "_chunk").agg(F.count("*").alias("_n"), *[F.sum(c).alias(f"_{c}") for c in columns])
+    """(key, n, <column> summed over the first n rows by t, in the parts of :func:`_apart`), n from 0; chunk by chunk, then
+    moved on."""
+    names = [p for c in columns for p in _parts(c)]
+    keyed = rows.select(key, "t", *_apart(columns)).withColumn("_chunk", F.floor(F.col("t") / CHUNK))
+    per = keyed.groupBy(key, "_chunk").agg(F.count("*").alias("_n"), *[F.sum(c).alias(f"_{c}") for c in names])
     before = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.select(key, "_chunk", *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}") for c in ("n", *columns)])
+    per = per.select(key, "_chunk", *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}") for c in ("n", *names)])
     inside = Window.partitionBy(key, "_chunk").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    run = keyed.select(key, "_chunk", F.count("*").over(inside).alias("_i"), *[F.sum(c).over(inside).alias(f"_r{c}") for c in columns]).join(per, [key, "_chunk"])
-    summed = run.select(key, (F.col("_n") + F.col("_i")).alias("n"), *[(F.col(f"_{c}") + F.col(f"_r{c}")).alias(c) for c in columns])
-    zero = rows.select(key).distinct().select(key, F.lit(0).cast("long").alias("n"), *[F.lit(0.0).alias(c) for c in columns])
+    run = keyed.select(key, "_chunk", F.count("*").over(inside).alias("_i"), *[F.sum(c).over(inside).alias(f"_r{c}") for c in names]).join(per, [key, "_chunk"])
+    summed = run.select(key, (F.col("_n") + F.col("_i")).alias("n"), *[(F.col(f"_{c}") + F.col(f"_r{c}")).alias(c) for c in names])
+    zero = rows.select(key).distinct().select(key, F.lit(0).cast("long").alias("n"), *[F.lit(0).cast(summed.schema[c].dataType).alias(c) for c in names])
     return summed.unionByName(zero)
 
 
 def resample_sums(rows: DataFrame, key: str, columns: Sequence[str], resamples: int, block: int, circular: bool = False) -> DataFrame:
-    """Sums of each column over resamples of moving blocks; the last block is cut so that n rows are used."""
+    """Sums of each column over resamples of moving blocks; the last block is cut so that n rows are used. A NaN or an
+    infinity shows in the blocks that hold it and in no others."""
     prefix = prefix_sums(rows, key, columns)
+    names = [p for c in columns for p in _parts(c)]
     sizes = rows.groupBy(key).agg(F.count("*").alias("rows"))
     grid = sizes.withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("rows") / block) - 1)))
     starts = F.col("rows") if circular else F.greatest(F.col("rows") - block + 1, F.lit(1))
     used = F.least(F.lit(block), F.col("rows") - F.col("block") * block)
     grid = grid.select(key, "rows", "resample", start_of(F.col("resample").cast("long"), F.col("block"), starts).alias("s"), used.alias("used")).withColumn("e", F.col("s") + F.col("used"))
-    low = prefix.select(key, F.col("n").alias("s"), *[F.col(c).alias(f"_s{c}") for c in columns])
-    high = prefix.select(key, F.col("n").alias("w"), *[F.col(c).alias(f"_e{c}") for c in columns])
+    low = prefix.select(key, F.col("n").alias("s"), *[F.col(c).alias(f"_s{c}") for c in names])
+    high = prefix.select(key, F.col("n").alias("w"), *[F.col(c).alias(f"_e{c}") for c in names])
     wrapped = F.when(F.col("e") > F.col("rows"), F.col("e") - F.col("rows")).otherwise(F.col("e")) if circular else F.least("e", "rows")
     joined = grid.withColumn("w", wrapped).join(low, [key, "s"]).join(high, [key, "w"])
-    totals = prefix.join(sizes, key).where("n = rows").select(key, *[F.col(c).alias(f"_t{c}") for c in columns])
+    totals = prefix.join(sizes, key).where("n = rows").select(key, *[F.col(c).alias(f"_t{c}") for c in names])
     joined = joined.join(totals, key)
-    wrap = F.col("e") > F.col("rows")
-    return joined.groupBy(key, "resample").agg(F.first("rows").alias("rows"), *[F.sum(F.col(f"_e{c}") - F.col(f"_s{c}") + F.when(wrap if circular else F.lit(False), F.col(f"_t{c}")).otherwise(0.0)).alias(c) for c in columns])
+    wrap = (F.col("e") > F.col("rows")) if circular else F.lit(False)
+    inside = lambda c: F.col(f"_e{c}") - F.col(f"_s{c}") + F.when(wrap, F.col(f"_t{c}")).otherwise(0)
+    return joined.groupBy(key, "resample").agg(F.first("rows").alias("rows"), *[F.sum(_together(*map(inside, _parts(c)))).alias(c) for c in columns])
 
 
 def mean_interval(rows: DataFrame, key: str, column: str, resamples: int, block: int, circular: bool = False) -> DataFrame:

@@ -21,6 +21,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -211,13 +212,16 @@ def solve_nested(blocks: pd.DataFrame, splits: Sequence[Outer], edges: Sequence[
             yield split.number, "stack", line, int(part[0, 0]), int(meta[0, 0]), weights.tolist()
 
 
-_SOLVED = "series string, split int, model string, offset double, weights array<double>, train_rows long, meta_rows long, meta_weights array<double>"
+_DDL = {pa.string(): "string", pa.int32(): "int", pa.int64(): "long", pa.float64(): "double", pa.list_(pa.float64()): "array<double>"}
+_SOLVED = {"series": pa.string(), "split": pa.int32(), "model": pa.string(), "offset": pa.float64(), "weights": pa.list_(pa.float64()), "train_rows": pa.int64(), "meta_rows": pa.int64(), "meta_weights": pa.list_(pa.float64())}
 
 
 def nested_models(marked: DataFrame, bases: Sequence[Base], outer: WalkForward | Combinatorial, inner: Inner = Inner(), meta_alpha: float = 1.0) -> DataFrame:
     """Models of each split over rows of :func:`label_ordinals`: series, split, model (a base's name or ``stack``), offset,
-    weights (over the sorted features of all bases), train_rows, meta_rows, meta_weights."""
+    weights (over the sorted features of all bases; null for features that the base leaves out), train_rows, meta_rows,
+    meta_weights."""
     features = sorted({f for b in bases for f in b.features})
+    own = {b.name: b.features for b in bases} | {"stack": features}
     names = [*features, "actual"]
     stats = marked.groupBy("series").agg(F.max("rows").alias("rows"), F.array(*[F.coalesce(c, F.lit(0)).cast("long") for c in outer.counts()]).alias("counts"))
 
@@ -233,14 +237,15 @@ def nested_models(marked: DataFrame, bases: Sequence[Base], outer: WalkForward |
     edges = stats.mapInPandas(with_edges, "series string, rows long, counts array<long>, edges array<long>")
     sums = _block_sums(marked, edges.select("series", "edges"), names).join(edges, "series")
 
-    def solve(frame: pd.DataFrame) -> pd.DataFrame:
+    def solve(table: pa.Table) -> pa.Table:
+        frame = table.to_pandas()
         first = frame.iloc[0]
         splits, cuts = all_edges(int(first["rows"]), first["counts"])
         found = solve_nested(frame, splits, cuts, names, bases, meta_alpha, inner)
-        rows = [(first["series"], s, model, float(line[0]), line[1:-1].tolist(), n, m, w) for s, model, line, n, m, w in found]
-        return pd.DataFrame(rows, columns=["series", "split", "model", "offset", "weights", "train_rows", "meta_rows", "meta_weights"])
+        rows = [(first["series"], s, model, float(line[0]), [w if f in own[model] else None for f, w in zip(features, line[1:-1].tolist())], n, m, meta) for s, model, line, n, m, meta in found]
+        return pa.table([pa.array(column, kind) for column, kind in zip(zip(*rows) if rows else [[]] * len(_SOLVED), _SOLVED.values())], names=list(_SOLVED))
 
-    return sums.groupBy("series").applyInPandas(solve, _SOLVED)
+    return sums.groupBy("series").applyInArrow(solve, ", ".join(f"{k} {_DDL[v]}" for k, v in _SOLVED.items()))  # not pandas, to which NaN is null
 
 
 def _tests(marked: DataFrame, outer: WalkForward | Combinatorial) -> DataFrame:
