@@ -627,6 +627,19 @@ def test_strangers_just_below_the_threshold(spark, monkeypatch):
     assert compared[-1] <= 50  # of 1770
 
 
+def test_large_similar_groups_do_not_meet_line_by_line(spark, monkeypatch):
+    """Chains leave near copies of one line in two groups: their neighbours join them before all pairs are compared."""
+    rng = random.Random(35)
+    line = [f"w{i}" for i in range(40)]
+    copies = [" ".join(f"n{i}" if k == at else x for k, x in enumerate(line)) for i in range(60) for at in [rng.randrange(40)]]
+    table = spark.createDataFrame(list(enumerate(copies)), "k1 long, norm string")
+    chained, compared, keep_similar = lines.chain_pairs, [], lines.keep_similar
+    monkeypatch.setattr(lines, "chain_pairs", lambda shared: chained(shared).where("a % 2 = b % 2"))
+    monkeypatch.setattr(lines, "keep_similar", lambda pairs: compared.append(pairs.count()) or keep_similar(pairs))
+    assert {tuple(r) for r in lines.similar_groups(table).select("k1", "group").collect()} == {(i, 0) for i in range(60)}
+    assert max(compared[1:]) <= 120 and compared[-1] == 0  # of 900
+
+
 def test_clashing_names_and_ids_with_two_texts(spark):
     line = "a line of quite enough words that stands in two documents of this table"
     rows = [(1, line, "a", "b", "c", "d"), (1, "another text of the same id with other words in it", "a", "b", "c", "d"), (2, line, "a", "b", "c", "d"), (3, line + "\nand one more line that only this document has", "x", "y", "z", "w"), (1, line, "a", "b", "c", "d")]
